@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramforge.llm import bpe
+from gramforge.llm import bpe, convnet, toxicity
 from gramforge.llm.common import table
 
 
@@ -14,5 +14,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe}
+def op2_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convnet.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_byte_convnet": op2_byte_convnet, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op8_byte_bpe": op8_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
