@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramforge.llm import bpe, convnet, toxicity
+from gramforge.llm import bpe, convnet, forest, toxicity
 from gramforge.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_byte_convnet": op2_byte_convnet, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op8_byte_bpe": op8_byte_bpe}
+def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op6_isolation_forest": op6_isolation_forest, "op2_byte_convnet": op2_byte_convnet, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op8_byte_bpe": op8_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
