@@ -1,2 +1,16 @@
-QUERIES: dict = {}
+"""Queries over pairs and groups of documents and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gramforge.llm import vectors
+from gramforge.llm.common import table
+
+
+def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op7_pivot_permutation": op7_pivot_permutation}
 ORACLE_SQL: dict[str, str] = {}
