@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramforge.llm import vectors
+from gramforge.llm import jaccard, vectors
 from gramforge.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op7_pivot_permutation": op7_pivot_permutation}
+def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_prefix_tree_join": op10_prefix_tree_join, "op7_pivot_permutation": op7_pivot_permutation}
 ORACLE_SQL: dict[str, str] = {}
