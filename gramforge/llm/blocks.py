@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.ipc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,8 +36,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """block, n_bytes, ids, no_id (1 where the id is null), sizes (-1 for a null text) and texts, compressed."""
+def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """block, n_bytes, ids, no_id (1 where the id is null), sizes (-1 for a null text), texts, compressed, and `rest`: the
+    columns to carry, as an Arrow stream of one struct column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -46,10 +48,18 @@ def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sizes = np.array([-1 if t is None else len(t) for t in texts], np.int64)
             keys = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
             none = np.array(ids.is_null(), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([len(raw)], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys.tobytes(), none.tobytes(), sizes.tobytes(), pack.compress(raw)))], ["n_bytes", "ids", "no_id", "sizes", "texts"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    packed = rows.mapInArrow(run, "n_bytes long, ids binary, no_id binary, sizes binary, texts binary")
+            rest = b""
+            if carry:
+                own = pa.RecordBatch.from_arrays([part.column("row")], ["row"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as stream:
+                    stream.write_batch(own)
+                rest = pack.compress(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([len(raw)], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys.tobytes(), none.tobytes(), sizes.tobytes(), pack.compress(raw), rest))], ["n_bytes", "ids", "no_id", "sizes", "texts", "rest"])
+
+    more = [F.struct(*carry).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
+    packed = rows.mapInArrow(run, "n_bytes long, ids binary, no_id binary, sizes binary, texts binary, rest binary")
     return written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -62,6 +72,12 @@ def unpacked(row) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["no_id"], np.uint8) > 0, texts
 
 
+def carried(row) -> pa.Array:
+    """The carried columns of a block."""
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(row["rest"])) as stream:
+        return stream.read_all().column("row").combine_chunks()
+
+
 def n_buckets(blocks: DataFrame) -> int:
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     return max(16, math.ceil(total / BUCKET_BYTES))

@@ -111,12 +111,17 @@ def _place(key: str, seed: str) -> list[Column]:
 
 
 def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: id, source, n_tokens, weight of the source, block, and copies: how often the mixture
-    takes the document, 0 included. A null source is a source of its own; null ids fall into one part of a block; documents
-    without words cost nothing and are taken as often as whole passes go, and in the partial pass with their part."""
-    own = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(source_col).alias(source_col), n_tokens(F.col(text_col)).alias("n_tokens"))
-    own = own.select(id_col, source_col, "n_tokens", _key(source_col).alias("_s"), *_place(id_col, target.seed))
+    """One row for each row of docs: `row`, a struct of its columns, n_tokens, weight of the source, block, and copies: how
+    often the mixture takes the document, 0 included. A null source is a source of its own; null ids fall into one part of
+    a block; documents without words cost nothing and are taken as often as whole passes go, and in the partial pass with
+    their part."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), n_tokens(F.col(text_col)).alias("n_tokens"), _key(source_col).alias("_s"), *_place(id_col, target.seed))
     sums = written(own.groupBy("_s", "_block", "_part").agg(F.sum("n_tokens").alias("tokens")), "mix-parts")
     extra = (F.col("_block") < F.col("cut_block")) | ((F.col("_block") == F.col("cut_block")) & (F.col("_part") < F.col("cut_part")))
     chosen = own.join(plan(sums, target), "_s")
-    return chosen.select(id_col, source_col, "n_tokens", "weight", F.col("_block").alias("block"), (F.col("passes") + extra.cast("long")).alias("copies"))
+    return chosen.select("row", "n_tokens", "weight", F.col("_block").alias("block"), (F.col("passes") + extra.cast("long")).alias("copies"))
+
+
+def drawn(docs: DataFrame, target: Target = Target(), **columns: str) -> DataFrame:
+    """The mixture itself: the rows of docs, each as often as it is taken."""
+    return mix(docs, target, **columns).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -14,7 +14,7 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("row.doc_id", "row.source", "n_tokens", "weight", "block", "copies")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

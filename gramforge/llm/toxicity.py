@@ -239,6 +239,18 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, SCORE_SCHEMA).withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: KneserNey, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays below the threshold."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shipped.value)
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array(scorer.scores([x or "" for x in part.column(text_col).to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """op4's columns: learning from rows whose crc32(doc_id) mod 4 isn't 2, on which held_out is false. A row without a
     doc_id is not held out, for it has no label either."""
