@@ -1,4 +1,321 @@
-"""The registered queries of the search engine."""
+"""The registered queries of the search engine, each with SQL that gives the same rows.
 
-QUERIES: dict = {}
+The corpus is `documents`: a document's path is source/doc_id.lang, so that extensions and ignore rules apply. All queries
+run over whole tables.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gramforge.functions import text
+from gramforge.functions import trigrams as T
+from gramforge.functions.ignore import Rules, glob_to_regex, kept
+from gramforge.operators import index as I
+from gramforge.operators import sink
+from gramforge.operators.scan import Pattern, ranked, scan, texts_of
+from gramforge.operators.search import Search
+from gramforge.sources.corpus import from_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    return from_table(docs, "doc_id", "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang"))
+
+
+def register(name: str, query: Query, sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+# -- SQL that the oracles share
+
+_FILES = "SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path, text AS content FROM documents WHERE strlen(text) > 0"
+
+
+def _lines(files: str = _FILES, name: str = "l") -> str:
+    """Common table expressions c (files) and l (file_id, path, line, raw, content)."""
+    return f"""c AS ({files}),
+s AS (SELECT file_id, path, CASE WHEN ends_with(content, chr(10)) THEN list_slice(string_split(content, chr(10)), 1, len(string_split(content, chr(10))) - 1) ELSE string_split(content, chr(10)) END AS ls FROM c),
+u AS (SELECT file_id, path, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line FROM s),
+{name} AS (SELECT file_id, path, line::INT AS line, raw, CASE WHEN ends_with(raw, chr(13)) THEN left(raw, length(raw) - 1) ELSE raw END AS content FROM u)"""
+
+
+def _fold(x: str) -> str:
+    return f"translate({x}, '{text.UPPER}', '{text.LOWER}')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _test(p: Pattern, column: str = "content") -> str:
+    if p.regex:
+        return f"regexp_matches({column}, {_quoted(p.value)}{', ' + _quoted('i') if p.ignore_case else ''})"
+    return f"contains({_fold(column)}, {_fold(_quoted(p.value))})" if p.ignore_case else f"contains({column}, {_quoted(p.value)})"
+
+
+def _counts(p: Pattern, lines: str = "l") -> str:
+    return f"SELECT file_id, path, count(*) FILTER ({_test(p)}) AS match_count, count(*)::INT AS total_lines, (count(*) FILTER ({_test(p)})) / count(*) AS density FROM {lines} GROUP BY file_id, path HAVING count(*) FILTER ({_test(p)}) > 0"
+
+
+_PAIRS = "(SELECT DISTINCT file_id, ('0x' || substr(hex(encode(raw)), 2 * k + 1, 6))::INT AS trigram FROM (SELECT file_id, raw, unnest(range(0, strlen(raw) - 2)) AS k FROM {lines} WHERE strlen(raw) BETWEEN 3 AND 512 AND regexp_matches(raw, '[0-9A-Za-z]')))"
+
+
+def _asked(pattern: str) -> list[int]:
+    own = T.of_pattern(pattern.encode())
+    return ([t for t in own if not T.is_noise(t)] or own) if len(own) > T.MAX_TRIGRAMS else own
+
+
+def _candidates(pattern: str) -> str:
+    """Common table expressions up to cand (file_id)."""
+    asked = _asked(pattern)
+    values = ", ".join(f"({t})" for t in asked)
+    return f"""{_lines()}, t AS {_PAIRS.format(lines='l')}, want(trigram) AS (VALUES {values}),
+d AS (SELECT trigram, count(*) AS df FROM t JOIN want USING (trigram) GROUP BY trigram),
+r AS (SELECT trigram, row_number() OVER (ORDER BY df, trigram) AS k FROM d WHERE (SELECT count(*) FROM d) = {len(asked)}),
+cand AS (SELECT file_id FROM t JOIN r USING (trigram) WHERE k <= {T.MAX_TRIGRAMS} GROUP BY file_id HAVING count(*) = {min(len(asked), T.MAX_TRIGRAMS)})"""
+
+
+# -- scans
+
+SCANS = {
+    "scan_literal": Pattern("of the"),
+    "scan_literal_bytes": Pattern("çon"),
+    "scan_literal_ci": Pattern("THE", ignore_case=True),
+    "scan_regex": Pattern(r"th.{1,4}on\w*\.$", regex=True),
+    "scan_regex_anchored": Pattern(r"^The [a-z]+ ", regex=True),
+    "scan_regex_border": Pattern(r"\ba", regex=True),
+    "scan_regex_class": Pattern(r"[[:alpha:]]+\s[[:upper:]]\S*[.,]$", regex=True),
+    "scan_regex_ci": Pattern("ÉA.X", regex=True, ignore_case=True),
+    "scan_empty_pattern": Pattern(""),
+    "scan_missing": Pattern("zzzqqq"),
+}
+
+for _name, _p in SCANS.items():
+    register(_name, lambda s, d, p=_p: scan(corpus(s, d), p, files_only=True), f"WITH {_lines()} {_counts(_p)}")
+
+
+def _exploded(results: DataFrame) -> DataFrame:
+    return results.select("file_id", F.explode("matches").alias("m")).select("file_id", "m.*")
+
+
+for _name, _p, _start, _length in (
+    ("scan_match_lines", Pattern("çon"), "strlen(split_part(content, 'çon', 1))", "4"),
+    ("scan_match_lines_ci", Pattern("License", ignore_case=True), f"strlen(split_part({_fold('content')}, 'license', 1))", "7"),
+    ("scan_match_lines_regex", Pattern(r"(erre|éa).?[x-z]", regex=True), "strlen(split_part(content, regexp_extract(content, '(erre|éa).?[x-z]'), 1))", "strlen(regexp_extract(content, '(erre|éa).?[x-z]'))"),
+):
+    register(_name, lambda s, d, p=_p: _exploded(scan(corpus(s, d), p)), f"WITH {_lines()} SELECT file_id, line, content, ({_start})::INT AS match_start, ({_length})::INT AS match_len FROM l WHERE {_test(_p)}")
+
+register("scan_files_only", lambda s, d: Search(corpus(s, d)).literal("tion").without_index().files_only().to_df().select("file_id", "path", "match_count", "density"), f"WITH {_lines()} SELECT file_id, path, match_count, density FROM ({_counts(Pattern('tion'))})")
+register("topk_density", lambda s, d: Search(corpus(s, d)).literal("the").without_index().files_only().limit(10).to_df(), f"WITH {_lines()} SELECT * FROM ({_counts(Pattern('the'))}) ORDER BY density DESC, path, file_id LIMIT 10")
+register("invalid_regex", lambda s, d: Search(corpus(s, d)).regex(r"(a)\1").files_only().to_df(), f"WITH {_lines()} SELECT * FROM ({_counts(Pattern('the'))}) WHERE false")
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return from_table(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html"), "page_id", "html", "url")
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    own = s.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    return from_table(own, "id", "text", "role")
+
+
+register("scan_pages", lambda s, d: scan(_pages(s, d), Pattern("</a>"), files_only=True), f"WITH {_lines('SELECT page_id AS file_id, url AS path, html AS content FROM pages WHERE strlen(html) > 0')} {_counts(Pattern('</a>'))}")
+register("scan_conversations", lambda s, d: scan(_turns(s, d), Pattern("tion"), files_only=True), f"WITH {_lines('SELECT conv_id * 1000 + turn AS file_id, role AS path, text AS content FROM conversations WHERE strlen(text) > 0')} {_counts(Pattern('tion'))}")
+
+# -- extensions, rules, paths
+
+register("ext_filter", lambda s, d: Search(corpus(s, d)).literal("en").ext(".en", ".de").without_index().files_only().to_df(), f"WITH {_lines()} SELECT * FROM ({_counts(Pattern('en'))}) WHERE regexp_extract(path, '[^/](\\.[^./]*)$', 1) IN ('.en', '.de')")
+
+RULES = {  # rules, and the condition under which a path is ignored
+    "ignore_dir_name": (("src1/",), "starts_with(path, 'src1/')"),
+    "ignore_dir_glob": (("src1*/",), "regexp_matches(path, '^src1[^/]*/')"),
+    "ignore_dir_path": (("src2/x/", "src3/y/"), "starts_with(path, 'src2/x/') OR starts_with(path, 'src3/y/')"),
+    "ignore_name_glob": (("*.fr", "1?.de"), "regexp_matches(path, '\\.fr$|/1.\\.de$')"),
+    "ignore_path_glob": (("src2/1*.en", "src[5-7]/*[02468].*"), "regexp_matches(path, '^src2/1[^/]*\\.en$|^src[5-7]/[^/]*[02468]\\.[^/]*$')"),
+    "ignore_quirks": (("!src1", "/src2/*", "src3"), "starts_with(path, 'src3/')"),
+}
+for _name, (_rules, _sql) in RULES.items():
+    register(_name, lambda s, d, r=_rules: corpus(s, d).filter(kept(F.col("path"), Rules.of(r))).select("file_id", "path"), f"WITH c AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path FROM documents) SELECT * FROM c WHERE NOT ({_sql})")
+register("ignore_after_index", lambda s, d: corpus(s, d).filter(kept(F.col("path"), Rules.of(("src1/", "*.fr")), files_only=True)).select("file_id", "path"), "WITH c AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path FROM documents) SELECT * FROM c WHERE NOT ends_with(path, '.fr')")
+register(
+    "path_parts",
+    lambda s, d: _pages(s, d).select("file_id", text.basename(F.col("path")).alias("name"), text.extension(F.col("path")).alias("extension"), text.relative(F.col("path"), "https:").alias("rel")),
+    "SELECT page_id AS file_id, string_split(url, '/')[-1] AS name, regexp_extract(url, '[^/](\\.[^./]*)$', 1) AS extension, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) WHEN starts_with(url, 'https:') THEN substr(url, 7) ELSE url END AS rel FROM pages",
+)
+
+# -- edge cases as literal rows: id, content in hex, text of the lines that are expected
+
+_EDGES = {1: "", 2: "a\n", 3: "a\n\n", 4: "ab\r\ncd", 5: "ab\r\r\n", 6: "x" * 10 + "\0y", 7: "b" * 9000 + "\0b\nb", 8: "});", 9: "a" * 512, 10: "a" * 513, 11: "a" * 512 + "\r", 12: "aa aa\nb\naa", 13: "éa\n ça"}
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame([(k, v.encode()) for k, v in _EDGES.items()], "file_id long, content binary")
+    return rows.withColumn("path", F.concat(F.lit("edge/"), F.col("file_id").cast("string")))
+
+
+_EDGE_ROWS = "(VALUES " + ", ".join(f"({k}, from_hex('{v.encode().hex()}'))" for k, v in _EDGES.items()) + ") AS v(file_id, b)"
+_EDGE_FILES = f"SELECT file_id::BIGINT AS file_id, 'edge/' || file_id AS path, decode(b) AS content FROM {_EDGE_ROWS} WHERE file_id NOT IN (1, 6)"
+
+register("binary_sniff", lambda s, d: texts_of(_edges(s, d)).select("file_id", F.octet_length("content").cast("long").alias("n_bytes")), f"SELECT file_id::BIGINT AS file_id, octet_length(b)::BIGINT AS n_bytes FROM {_EDGE_ROWS} WHERE octet_length(b) > 0 AND file_id <> 6")
+register("line_split_edge", lambda s, d: texts_of(_edges(s, d)).filter("file_id != 7").select("file_id", F.explode(text.numbered(F.col("content"))).alias("x")).select("file_id", "x.line", "x.content"), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, line, content FROM l")
+_CR = Pattern("(^|[^b])b$|d$|a$", regex=True)
+register("crlf_strip", lambda s, d: scan(_edges(s, d).filter("file_id != 7"), _CR).select("file_id", "match_count", "total_lines"), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, match_count, total_lines FROM ({_counts(_CR)})")
+register("edge_trigrams", lambda s, d: T.with_trigrams(texts_of(_edges(s, d))).select("file_id", F.array_join(F.col("trigrams").cast("array<string>"), ",").alias("trigrams")), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')}, t AS {_PAIRS.format(lines='l')} SELECT c.file_id, coalesce(string_agg(trigram::VARCHAR, ',' ORDER BY trigram), '') AS trigrams FROM c LEFT JOIN t USING (file_id) GROUP BY c.file_id UNION ALL VALUES (7::BIGINT, '')")
+
+# -- lines and trigrams
+
+register(
+    "line_stats",
+    lambda s, d: texts_of(corpus(s, d)).select("file_id", text.raw_lines(F.col("content")).alias("l")).select("file_id", F.size("l").cast("long").alias("total_lines"), F.size(F.filter("l", text.indexable)).cast("long").alias("indexable"), F.size(F.filter("l", lambda x: F.octet_length(x) > text.MAX_LINE)).cast("long").alias("too_long")),
+    f"WITH {_lines()} SELECT file_id, count(*) AS total_lines, count(*) FILTER (strlen(raw) BETWEEN 3 AND 512 AND regexp_matches(raw, '[0-9A-Za-z]')) AS indexable, count(*) FILTER (strlen(raw) > 512) AS too_long FROM l GROUP BY file_id",
+)
+register(
+    "indexable_lines",
+    lambda s, d: texts_of(corpus(s, d)).select("file_id", F.posexplode(text.raw_lines(F.col("content"))).alias("p", "raw")).filter(text.indexable(F.col("raw"))).select("file_id", (F.col("p") + 1).alias("line"), F.octet_length("raw").alias("n_bytes")),
+    f"WITH {_lines()} SELECT file_id, line, strlen(raw)::INT AS n_bytes FROM l WHERE strlen(raw) BETWEEN 3 AND 512 AND regexp_matches(raw, '[0-9A-Za-z]')",
+)
+_T = f"WITH {_lines()}, t AS {_PAIRS.format(lines='l')}"
+register("doc_trigrams", lambda s, d: I.pairs(corpus(s, d)), f"{_T} SELECT * FROM t")
+register("trigram_df", lambda s, d: I.frequencies(I.pairs(corpus(s, d))), f"{_T} SELECT trigram, count(*) AS df FROM t GROUP BY trigram")
+
+
+def _whole_lists(s: SparkSession, d: str) -> DataFrame:
+    return I.posting_lists(I.pairs(corpus(s, d)))
+
+
+register("postings", lambda s, d: _whole_lists(s, d).select("trigram", "segment", F.array_join(F.col("file_ids").cast("array<string>"), ",").alias("file_ids")), f"{_T} SELECT trigram, file_id >> 16 AS segment, string_agg(file_id::VARCHAR, ',' ORDER BY file_id) AS file_ids FROM t GROUP BY ALL")
+register(
+    "posting_delta",
+    lambda s, d: _whole_lists(s, d).select("trigram", "segment", T.delta_encoded(F.col("file_ids")).alias("x"), "file_ids").select("trigram", "segment", F.array_join(F.col("x").cast("array<string>"), ",").alias("deltas"), (F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b) == F.element_at("file_ids", -1)).alias("adds_up")),
+    f"{_T}, g AS (SELECT trigram, file_id >> 16 AS segment, file_id, file_id - lag(file_id, 1, 0) OVER (PARTITION BY trigram, file_id >> 16 ORDER BY file_id) AS delta FROM t) SELECT trigram, segment, string_agg(delta::VARCHAR, ',' ORDER BY file_id) AS deltas, true AS adds_up FROM g GROUP BY trigram, segment",
+)
+register("index_stats", lambda s, d: _whole_lists(s, d).agg(F.sum(F.size("file_ids")).cast("long").alias("pairs"), F.countDistinct("trigram").alias("trigrams")), f"{_T} SELECT count(*) AS pairs, count(DISTINCT trigram) AS trigrams FROM t")
+
+PATTERNS = ("of the", "çon", "tion, the", " | ", "aaaa", "} ){ (;[]", "é")
+register(
+    "pattern_trigrams",
+    lambda s, d: s.createDataFrame([(p, t, T.is_noise(t)) for p in PATTERNS for t in T.of_pattern(p.encode())], "pattern string, trigram int, noise boolean"),
+    # bytes of a trigram may cut a character, so the SQL tests the hex digits
+    "WITH p(pattern) AS (VALUES " + ", ".join(f"({_quoted(p)})" for p in PATTERNS) + "), h AS (SELECT pattern, unnest(range(0, greatest(strlen(pattern) - 2, 0))) AS k, hex(encode(pattern)) AS x FROM p) SELECT DISTINCT pattern, ('0x' || substr(x, 2 * k + 1, 6))::INT AS trigram, regexp_matches(substr(x, 2 * k + 1, 6), '^(20|28|29|7B|7D|5B|5D|3B|09){3}$') AS noise FROM h",
+)
+
+
+def _planned(s: SparkSession, d: str, pattern: str) -> DataFrame:
+    """Candidates without a stored index: pairs are filtered to the pattern's trigrams before anything is shuffled."""
+    data = pattern.encode()
+    own = I.pairs(corpus(s, d)).filter(F.col("trigram").isin(T.of_pattern(data)))
+    plan = I.Plan.of(data, {r["trigram"]: r["df"] for r in I.frequencies(own).collect()})
+    every = texts_of(corpus(s, d)).select("file_id")
+    if plan.nothing:
+        return every.limit(0)
+    return I.intersect(I.posting_lists(own), plan.required) if plan.required else every
+
+
+for _name, _p in {"candidates": "of the", "candidates_bytes": "çon", "candidates_rarest": "tion, the", "candidates_one": " | ", "candidates_missing": "zzzqqq", "candidates_noisy": "} ){ (;[]"}.items():
+    register(_name, lambda s, d, p=_p: _planned(s, d, p), f"WITH {_candidates(_p)} SELECT file_id FROM cand")
+register("candidates_short", lambda s, d: _planned(s, d, "é"), "SELECT doc_id AS file_id FROM documents WHERE strlen(text) > 0")
+
+
+def _rarest(s: SparkSession, d: str, pattern: str) -> DataFrame:
+    own = I.frequencies(I.pairs(corpus(s, d)).filter(F.col("trigram").isin(_asked(pattern))))
+    return own.orderBy("df", "trigram").limit(T.MAX_TRIGRAMS)
+
+
+register("rarest4", lambda s, d: _rarest(s, d, "tion, the"), f"WITH {_candidates('tion, the')} SELECT trigram, df FROM d ORDER BY df, trigram LIMIT 4")
+
+# -- stored index
+
+_BUILT: dict[tuple, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="gramforge-")
+        atexit.register(shutil.rmtree, at, True)
+    return f"{at.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def built(s: SparkSession, d: str, mode: str = "compat") -> I.TrigramIndex:
+    """The index of a folder's corpus, built once in a session."""
+    key = (s.sparkContext.applicationId, d, mode)
+    if key not in _BUILT:
+        _BUILT[key] = I.TrigramIndex.build(corpus(s, d), scratch(s), mode).path
+    return I.TrigramIndex(s, _BUILT[key])
+
+
+def _indexed(s: SparkSession, d: str, p: Pattern, mode: str = "compat") -> DataFrame:
+    return Search(corpus(s, d), built(s, d, mode), p).files_only().to_df()
+
+
+for _name, _p, _by in (("indexed_literal", Pattern("of the"), "of the"), ("indexed_literal_bytes", Pattern("çon"), "çon"), ("indexed_literal_ci", Pattern("THE", ignore_case=True), "THE"), ("indexed_rarest", Pattern("tion, the"), "tion, the")):
+    register(_name, lambda s, d, p=_p: _indexed(s, d, p), f"WITH {_candidates(_by)}, k AS (SELECT l.* FROM l SEMI JOIN cand USING (file_id)) {_counts(_p, 'k')}")
+register("indexed_short", lambda s, d: _indexed(s, d, Pattern("é")), f"WITH {_lines()} {_counts(Pattern('é'))}")
+for _name, _p in (("indexed_lossless", Pattern("of the")), ("indexed_lossless_ci", Pattern("THE", ignore_case=True))):
+    register(_name, lambda s, d, p=_p: _indexed(s, d, p, "lossless"), f"WITH {_lines()} {_counts(_p)}")
+
+
+def _missed(s: SparkSession, d: str) -> DataFrame:
+    p = Pattern("tion")
+    return scan(corpus(s, d), p, files_only=True).join(_indexed(s, d, p).select("file_id"), "file_id", "left_anti").select("file_id", "match_count")
+
+
+register("index_false_negatives", _missed, f"WITH {_candidates('tion')}, m AS ({_counts(Pattern('tion'))}) SELECT file_id, match_count FROM m ANTI JOIN cand USING (file_id)")
+
+
+def _upserted(s: SparkSession, d: str) -> I.TrigramIndex:
+    """An index after two changes: the documents of src1 get another text, and those of src2 go."""
+    index = I.TrigramIndex.build(corpus(s, d), scratch(s))
+    files = corpus(s, d)
+    changed = files.filter(F.startswith("path", F.lit("src1/"))).withColumn("content", F.concat(F.lit("of then\n"), "content"))
+    index.apply(changed, files.filter(F.startswith("path", F.lit("src2/"))).select("file_id"))
+    return index
+
+
+_CHANGED = _FILES.replace("text AS content", "CASE WHEN source = 'src1' THEN 'of then' || chr(10) || text ELSE text END AS content") + " AND source <> 'src2'"
+register("index_upsert", lambda s, d: _upserted(s, d).candidates("of then").select("file_id"), f"WITH {_candidates('of then').replace(_FILES, _CHANGED)} SELECT file_id FROM cand")
+
+
+def _compacted(s: SparkSession, d: str) -> DataFrame:
+    index = _upserted(s, d)
+    index.compact()
+    return index.stats().select("pairs", "trigrams")
+
+
+register("index_delete", _compacted, f"WITH {_lines(_CHANGED)}, t AS {_PAIRS.format(lines='l')} SELECT count(*) AS pairs, count(DISTINCT trigram) AS trigrams FROM t")
+
+# -- sinks
+
+_J = "replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+_MATCHED = "SELECT file_id, path, count(*) AS n, (count(*) / any_value(total)) AS density, {agg} FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS total FROM l) WHERE {test} GROUP BY file_id, path"
+register(
+    "json_result",
+    lambda s, d: sink.json_rows(scan(corpus(s, d), Pattern("License", ignore_case=True))).select("file_id", "json"),
+    f"WITH {_lines()}, m AS ({_MATCHED.format(agg='string_agg(' + chr(39) + '{' + chr(34) + 'line' + chr(34) + ': ' + chr(39) + ' || line || ' + chr(39) + ', ' + chr(34) + 'content' + chr(34) + ': ' + chr(34) + chr(39) + ' || ' + _J.format('content') + ' || ' + chr(39) + chr(34) + '}' + chr(39) + ', ' + chr(39) + ', ' + chr(39) + ' ORDER BY line) AS x', test=_test(Pattern('License', ignore_case=True)))}) SELECT file_id, '{{\"file\": \"' || {_J.format('path')} || '\", \"match_count\": ' || n || ', \"density\": ' || printf('%.6f', density) || ', \"matches\": [' || x || ']}}' AS json FROM m",
+)
+register(
+    "human_lines",
+    lambda s, d: sink.text_rows(scan(corpus(s, d), Pattern("license"))).select("file_id", "text"),
+    f"WITH {_lines()}, m AS ({_MATCHED.format(agg='string_agg(printf(' + chr(39) + '  %4d  ' + chr(39) + ', line) || content, chr(10) ORDER BY line) AS x', test=_test(Pattern('license')))}) SELECT file_id, path || chr(10) || x AS text FROM m",
+)
+register("human_files", lambda s, d: sink.text_rows(scan(corpus(s, d), Pattern("of the"), files_only=True)).select("file_id", "text"), f"WITH {_lines()} SELECT file_id, path || '  ' || match_count || CASE match_count WHEN 1 THEN ' match ' ELSE ' matches ' END AS text FROM ({_counts(Pattern('of the'))})")
+register(
+    "json_escape_compat",
+    lambda s, d: texts_of(corpus(s, d)).select("file_id", F.explode(text.lines(F.col("content"))).alias("x")).filter(F.octet_length("x") < 40).select("file_id", "x", text.json_string(F.col("x"), ascii_bytes=True).alias("escaped")),
+    f"WITH {_lines()}, h AS (SELECT file_id, content AS x, list_transform(range(0, strlen(content)), lambda k: substr(hex(encode(content)), 2 * k + 1, 2)) AS bytes FROM l WHERE strlen(content) < 40) SELECT file_id, x, array_to_string(list_transform(bytes, lambda b: CASE WHEN b = '22' THEN chr(92) || '\"' WHEN b = '5C' THEN chr(92) || chr(92) WHEN b < '20' OR b >= '80' THEN chr(92) || 'u00' || lower(b) ELSE chr(('0x' || b)::INT) END), '') AS escaped FROM h",
+)
