@@ -185,20 +185,11 @@ def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
     own = groups.join(size, "_e").withColumn("_c", F.pmod(F.xxhash64("_id"), "_chunks").cast("int"))
     work = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_e", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_n", "_at", "_comp")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["_i"].iloc[0]), int(rows["_j"].iloc[0])
-        a, b = (rows[rows["_c"] == c] for c in (i, j)) if i != j else (rows, rows)
-        col = lambda s, c: s[c].to_numpy()
-        most = 1 + np.minimum((col(a, "_n") - col(a, "_at") - 1)[:, None], (col(b, "_n") - col(b, "_at") - 1)[None])
-        ok = (100 + percent) * most >= percent * (col(a, "_n")[:, None] + col(b, "_n")[None])
-        ok &= col(a, "_comp")[:, None] != col(b, "_comp")[None]
-        if i == j:
-            ok &= col(a, "_id")[:, None] < col(b, "_id")[None]
-        x, y = np.nonzero(ok)
-        x, y = col(a, "_id")[x], col(b, "_id")[y]
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-    return work.groupBy("_e", "_i", "_j").applyInPandas(run, "x long, y long").distinct()
+    a = work.filter("_c = _i").drop("_c")
+    b = work.filter("_c = _j").select("_e", "_i", "_j", F.col("_id").alias("_y"), F.col("_n").alias("_m"), F.col("_at").alias("_bt"), F.col("_comp").alias("_yc"))
+    once = (F.col("_i") < F.col("_j")) | (F.col("_id") < F.col("_y"))
+    met = a.join(b, ["_e", "_i", "_j"]).filter(once & (F.col("_comp") != F.col("_yc")) & may_link(percent))
+    return met.select(F.least("_id", "_y").alias("x"), F.greatest("_id", "_y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
