@@ -154,6 +154,8 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (x, y) that link. x is the probe."""
     degree = written(pairs.groupBy("x").agg(F.count("*").alias("_d")), "degrees")
     total = degree.agg(F.sum("_d")).first()[0] or 0
+    if not total:
+        return pairs.limit(0)
     tasks = max(8, -(-total // TASK_SETS))
     chunk = F.pmod(F.xxhash64("y"), F.ceil(F.col("_d") / TASK_SETS).cast("long"))
     task = F.pmod(F.xxhash64("x", "_k"), F.lit(tasks)).cast("int").alias("_task")
@@ -201,16 +203,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     some = sets.filter("_set is not null")
     # copies of a set: one of them goes on, the others are linked with it
     first = some.groupBy("_a", "_b", "_n").agg(F.min(F.struct("_id", "_set")).alias("_f"))
-    single = written(first.select("_a", "_b", "_n", "_f._id", "_f._set"), "single-sets")
-    copies = some.select("_a", "_b", "_n", F.col("_id").alias("x")).join(single.select("_a", "_b", "_n", F.col("_id").alias("y")), ["_a", "_b", "_n"]).select("x", "y")
-    copies = written(copies.filter("x != y").distinct(), "copies")
-    # rows that repeat an id with another text: their sets need names of their own, the id links them
-    single = named(single)
+    # rows may repeat an id with another text: a set gets a number of its own, and links become links of ids at the end
+    single = written(first.select("_a", "_b", "_n", F.col("_f._id").alias("_own"), "_f._set").withColumn("_id", F.monotonically_increasing_id()), "single-sets")
+    copies = some.select("_a", "_b", "_n", F.col("_id").alias("x")).join(single.select("_a", "_b", "_n", F.col("_own").alias("y")), ["_a", "_b", "_n"]).select("x", "y").filter("x != y")
     heads = written(single.select("_id", "_set").mapInArrow(prefix_of(percent), "_e long, _id long, _n long, _at long"), "prefixes")
     least = written(heads.groupBy("_e").agg(F.min(F.struct("_id", "_n", "_at")).alias("_l"), F.count("*").alias("_c")).filter("_c > 1").select("_e", F.col("_l._id").alias("_x"), F.col("_l._n").alias("_m"), F.col("_l._at").alias("_bt")), "leaders")
     meet = heads.join(least, "_e").filter((F.col("_id") != F.col("_x")) & may_link(percent)).select(F.col("_x").alias("x"), F.col("_id").alias("y")).distinct()
     linked = compare(meet, single, percent)
-    parts = written(components(linked), "first-components")
+    parts = components(linked)
     placed = heads.join(parts.select(F.col("id").alias("_id"), F.col("component_id").alias("_k")), "_id", "left").withColumn("_comp", F.coalesce("_k", "_id")).drop("_k")
     placed = written(placed, "placed")
     open_ = written(placed.groupBy("_e").agg(F.min("_comp").alias("_u"), F.max("_comp").alias("_v")).filter("_u != _v").select("_e"), "open")
@@ -224,7 +224,3 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     own = F.when(~F.col("_none"), F.coalesce("component_id", "_id"))
     return out.select(F.when(~F.col("_none"), F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), own.alias("component_id"))
 
-
-def named(single: DataFrame) -> DataFrame:
-    """_own (the document's id), _id (a number of the set that no other has) and _set."""
-    return written(single.select(F.col("_id").alias("_own"), "_set").withColumn("_id", F.monotonically_increasing_id()), "named-sets")
