@@ -6,9 +6,10 @@ out at once. Documents that may link share an n-gram of their first ones in the
 sets to compare form a prefix tree: they are walked in order, overlaps with the probe counted along a shared path serve
 all sets behind it, and a branch is left when what remains of set and probe can't make up the overlap that is needed.
 
-Which documents meet is found in two rounds. First every document meets the smallest one of each of its prefix n-grams.
-Most groups are connected then. In those that aren't, documents of different components meet, and no others: these can't
-change the components. Copies of one set are one document here.
+Which documents meet is found in three rounds. First every document meets the smallest one of one group, that of its most
+shared prefix n-gram; then the smallest ones of its other groups, if they are in another component; and last, in groups
+that still aren't connected, all documents of different components meet, unless bitmaps of their sets show that too many
+elements differ. Pairs left out are in one component already and can't change it. Copies of one set are one document here.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ U = np.uint64
 TASK_SETS = 1500
 #: Members of a prefix group that meet as many others in one task.
 CHUNK = 512
+#: Bits that describe a set when members of a prefix group meet.
+BITS = 512
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +153,24 @@ def prefix_of(percent: int):
     return run
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """_id and _w: BITS bits, of which each element of the set flips one. Two sets differ in as many elements at least as
+    their bitmaps differ in bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.packbits(np.bincount((np.frombuffer(s, np.uint64) % U(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64) for s in batch.column("_set").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(own, pa.list_(pa.int64()))], ["_id", "_w"])
+
+    return sets.select("_id", "_set").mapInArrow(run, "_id long, _w array<long>")
+
+
+def alike(percent: int):
+    """Whether the bitmaps leave the sets alike enough."""
+    bits = sum((F.bit_count(F.col("_w")[k].bitwiseXOR(F.col("_v")[k])) for k in range(BITS // 64)), F.lit(0))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("_n") + F.col("_m"))
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (x, y) that link. x is the probe."""
     degree = written(pairs.groupBy("x").agg(F.count("*").alias("_d")), "degrees")
@@ -181,19 +202,25 @@ def may_link(percent: int):
     return (100 + percent) * most >= percent * (F.col("_n") + F.col("_m"))
 
 
-def cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(groups: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within a prefix group, in chunks of members: no task gets more than two chunks."""
     size = written(groups.groupBy("_e").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")), "groups")
-    own = groups.join(size, "_e").withColumn("_c", F.pmod(F.xxhash64("_id"), "_chunks").cast("int"))
-    work = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_e", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_n", "_at", "_comp")
+    own = groups.join(size, "_e").join(maps, "_id").withColumn("_c", F.pmod(F.xxhash64("_id"), "_chunks").cast("int"))
+    work = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_e", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_n", "_at", "_comp", "_w")
 
     a = work.filter("_c = _i").drop("_c")
-    b = work.filter("_c = _j").select("_e", "_i", "_j", F.col("_id").alias("_y"), F.col("_n").alias("_m"), F.col("_at").alias("_bt"), F.col("_comp").alias("_yc"))
+    b = work.filter("_c = _j").select("_e", "_i", "_j", F.col("_id").alias("_y"), F.col("_n").alias("_m"), F.col("_at").alias("_bt"), F.col("_comp").alias("_yc"), F.col("_w").alias("_v"))
     once = (F.col("_i") < F.col("_j")) | (F.col("_id") < F.col("_y"))
-    met = a.join(b, ["_e", "_i", "_j"]).filter(once & (F.col("_comp") != F.col("_yc")) & may_link(percent))
+    met = a.join(b, ["_e", "_i", "_j"]).filter(once & (F.col("_comp") != F.col("_yc")) & may_link(percent) & alike(percent))
     return met.select(F.least("_id", "_y").alias("x"), F.greatest("_id", "_y").alias("y")).distinct()
 
 
+def in_parts(rows: DataFrame, parts: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the component of a column, which is the column itself where it has none."""
+    own = parts.select(F.col("id").alias(column), F.col("component_id").alias("_part"))
+    return rows.join(own, column, "left").withColumn(name, F.coalesce("_part", column)).drop("_part")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles (size of its set) and component_id (smallest id reachable by links,
     itself included). Rows link when 100 * intersection >= percent * union. A null text is empty; texts without words link
@@ -207,14 +234,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     single = written(first.select("_a", "_b", "_n", F.col("_f._id").alias("_own"), "_f._set").withColumn("_id", F.monotonically_increasing_id()), "single-sets")
     copies = some.select("_a", "_b", "_n", F.col("_id").alias("x")).join(single.select("_a", "_b", "_n", F.col("_own").alias("y")), ["_a", "_b", "_n"]).select("x", "y").filter("x != y")
     heads = written(single.select("_id", "_set").mapInArrow(prefix_of(percent), "_e long, _id long, _n long, _at long"), "prefixes")
-    least = written(heads.groupBy("_e").agg(F.min(F.struct("_id", "_n", "_at")).alias("_l"), F.count("*").alias("_c")).filter("_c > 1").select("_e", F.col("_l._id").alias("_x"), F.col("_l._n").alias("_m"), F.col("_l._at").alias("_bt")), "leaders")
-    meet = heads.join(least, "_e").filter((F.col("_id") != F.col("_x")) & may_link(percent)).select(F.col("_x").alias("x"), F.col("_id").alias("y")).distinct()
-    linked = compare(meet, single, percent)
-    parts = components(linked)
-    placed = heads.join(parts.select(F.col("id").alias("_id"), F.col("component_id").alias("_k")), "_id", "left").withColumn("_comp", F.coalesce("_k", "_id")).drop("_k")
-    placed = written(placed, "placed")
+    least = written(heads.groupBy("_e").agg(F.min(F.struct("_id", "_n", "_at")).alias("_l"), F.count("*").alias("_c")).filter("_c > 1").select("_e", "_c", F.col("_l._id").alias("_x"), F.col("_l._n").alias("_m"), F.col("_l._at").alias("_bt")), "leaders")
+    met = heads.join(least, "_e").filter((F.col("_id") != F.col("_x")) & may_link(percent))
+    met = written(met.select("_e", "_c", "_id", "_x"), "met")
+    one = met.groupBy("_id").agg(F.max(F.struct("_c", "_e", "_x")).alias("_m")).select(F.col("_m._x").alias("x"), F.col("_id").alias("y"))
+    linked = compare(written(one, "first-pairs"), single, percent)
+    parts = written(components(linked), "first-components")
+    apart = in_parts(in_parts(met.select("_id", "_x"), parts, "_x", "_u"), parts, "_id", "_v").filter("_u != _v")
+    linked = linked.unionByName(compare(written(apart.select(F.col("_x").alias("x"), F.col("_id").alias("y")).distinct(), "second-pairs"), single, percent))
+    placed = written(in_parts(heads, components(linked), "_id", "_comp"), "placed")
     open_ = written(placed.groupBy("_e").agg(F.min("_comp").alias("_u"), F.max("_comp").alias("_v")).filter("_u != _v").select("_e"), "open")
-    rest = written(cross_pairs(placed.join(open_, "_e"), percent), "rest")
+    rest = written(cross_pairs(placed.join(open_, "_e"), written(bitmaps(single), "bitmaps"), percent), "rest")
     more = compare(rest, single, percent)
     names = single.select(F.col("_id").alias("n"), F.col("_own").alias("o"))
     links = linked.unionByName(more)
