@@ -49,7 +49,7 @@ class Replica:
         for k in range(1, height + 1):
             child = F.array_sort(F.collect_list(F.struct("node", "digest")))  # FANOUT of them at most
             above = self.levels[-1].groupBy(F.shiftright("node", BITS).alias("node")).agg(F.sha2(F.array_join(F.transform(child, lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["digest"])), "\n"), 256).alias("digest"))
-            self.levels.append(written(above, f"merkle-{k}") if k <= 2 else above)
+            self.levels.append(written(above, f"merkle-{k}"))
 
 
 def audit(a: Replica, b: Replica) -> DataFrame:
@@ -63,7 +63,9 @@ def audit(a: Replica, b: Replica) -> DataFrame:
         if differing is not None:
             up = differing.select(F.col("node").alias("_up"))
             own, other = (x.join(up, F.shiftright("node", BITS) == F.col("_up"), "left_semi") for x in (own, other))
-        differing = own.join(other, "node", "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+        differing = written(own.join(other, "node", "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))), "differing")
+        if differing.isEmpty():
+            break
     places = offsets(a.levels[0].join(differing.select(F.shiftright("node", FILE_BITS).alias("_f")).distinct(), F.shiftright("node", FILE_BITS) == F.col("_f"), "left_semi"))
     status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").otherwise("altered")
     found = differing.join(places, "node", "left")
