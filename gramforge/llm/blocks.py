@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.common import slices, written
+from gramforge.llm.common import slices, trim, written
 
 BLOCK_BYTES = 2 << 20
 #: Text bytes for each bucket: what a bucket's task holds stays the same at any size of the corpus.
@@ -135,6 +135,7 @@ def frequency_classes(blocks: DataFrame, keys_of: Keys, n: int, name: str) -> Da
                 for a, b in zip(starts, starts[1:], strict=False):
                     more = np.flatnonzero(count[a:b] > 1).astype("<u4")
                     bodies.append(np.uint32(len(more)).tobytes() + more.tobytes() + count[a:b][more].astype("<u4").tobytes() + rest[a:b].astype("<u4").tobytes())
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([row["block"]] * len(found), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "block", "body"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -150,6 +151,8 @@ def frequency_classes(blocks: DataFrame, keys_of: Keys, n: int, name: str) -> Da
         total = np.bincount(at, weights=np.concatenate(counts))
         level = np.where(total < 2, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(total, 2) / 2)))).astype(np.uint8)[at]
         ends = np.cumsum(sizes).tolist()
+        del keys, counts, kinds, at, total
+        trim()
         pack = zstandard.ZstdCompressor(level=1)
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "body": [pack.compress(level[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]})
 

@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.common import slices
+from gramforge.llm.common import slices, trim
 
 #: Entries in each generation of a cache of encoded pieces; it bounds memory and decides nothing else.
-CACHE = 300_000
+CACHE = 200_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -318,6 +318,10 @@ class Tokenizer:
         self.by_chunk = Recent()
         self.space_run = regex.compile(r" (?:\s|$)").search
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.by_piece, self.by_chunk = Recent(), Recent()
+
     def learn(self, pieces: set[str]) -> None:
         new = self.by_piece.missing(pieces)
         self.by_piece.now.update(zip(new, self.many.encode([p.encode() for p in new]), strict=True))
@@ -366,6 +370,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             n, a, b, *more = zip(*out, strict=True)
             arrays = [part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(pa.array(x, pa.binary()) for x in more)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+        t.forget()
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id long, {SCHEMA}" + ", ids binary" * with_ids).withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.llm import blocks as B
-from gramforge.llm.common import written
+from gramforge.llm.common import trim, written
 from gramforge.llm.components import components
 
 U = np.uint64
@@ -127,6 +127,8 @@ def ordered_sets(blocks: DataFrame, words: int, percent: int) -> DataFrame:
                 out.append((*row, int(B.mixed(own).sum().astype(np.int64)), int(B.mixed(own ^ U(0xA0761D6478BD642F)).sum().astype(np.int64)), own.tobytes()))
             else:
                 out.append((*row, None, None, None))
+        del texts, keys, at, kinds, place, level, element, order
+        trim()
         frame = pd.DataFrame(out, columns=["_id", "_none", "_n", "_a", "_b", "_set"])
         return frame.astype({"_a": "Int64", "_b": "Int64"})
 

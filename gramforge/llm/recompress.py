@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gramforge.llm import blocks as B
+from gramforge.llm.common import trim
 
 U = np.uint64
 ROUNDS = 3
@@ -176,6 +177,8 @@ def dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str
             # the order within a bucket is that of the windows, so documents ascend
             own, first = np.unique(doc[a:b], return_index=True)
             bodies.append(np.uint32(len(own)).tobytes() + first.astype("<u4").tobytes() + ids[own].astype("<i8").tobytes() + entry[a:b].tobytes())
+        del p, kinds, place, entry
+        trim()
         return pd.DataFrame({"bucket": found.astype(np.int32), "block": np.full(len(found), block["block"].iloc[0]), "body": bodies})
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
@@ -194,6 +197,7 @@ def dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str
         least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         goes = np.zeros(len(order), bool)
         goes[order] = owner[order] > least
+        del h, g, new, least, order
         out = [every["at"][a:b][goes[a:b]].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
         return pd.DataFrame({"block": rows["block"], "body": out})
 
@@ -215,6 +219,8 @@ def dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str
             removed = int(own.sum())
             kept = b" ".join(words if not removed else [w for w, g in zip(words, own.tolist(), strict=True) if not g])
             out.append((len(words), removed, (kept if removed else texts[i]).decode(), hashlib.sha256(kept).hexdigest()))
+        del p, step, gone
+        trim()
         columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
         return pa.Table.from_arrays([B.carried(row), *columns], ["row", *RESULT.names])
 

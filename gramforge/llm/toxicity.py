@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.common import crc_mod, labelled_sample, slices
+from gramforge.llm.common import crc_mod, labelled_sample, slices, trim
 
 ORDER = 6
 #: The labelled texts that the model is fitted on: at most so many of each class, and so many bytes together.
@@ -234,6 +234,8 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
         for part in slices(batches, "text"):
             got = scorer.scores([x or "" for x in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got, pa.float64())], ["id", "score"])
+        scorer.seen.clear()
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCORE_SCHEMA).withColumnRenamed("id", id_col)
@@ -247,6 +249,8 @@ def without_toxic(docs: DataFrame, model: KneserNey, threshold: float = 0.3, tex
         scorer = Scorer(shipped.value)
         for part in slices(batches, text_col):
             yield part.filter(pa.array(scorer.scores([x or "" for x in part.column(text_col).to_pylist()]) < threshold))
+        scorer.seen.clear()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
