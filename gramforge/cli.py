@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=0, help="files at most; 0: all")
     p.add_argument("--reindex", action="store_true")
     p.add_argument("--no-index", action="store_true")
-    p.add_argument("--index", help="folder of the index; default: .cx/gramforge below the root")
+    p.add_argument("--index", help="folder of the index; default: .gramforge below the root")
     p.add_argument("--mode", choices=("compat", "lossless"), default="compat")
     p.add_argument("--threads", type=int, default=0, help="local tasks; 0: all cores")
     return p
@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
         spark.sparkContext.setLogLevel("ERROR")
     root = os.path.realpath(a.path)
     rules = tuple(load_rules(root))
-    index = TrigramIndex(spark, a.index or os.path.join(root, ".cx", "gramforge"))
+    index = TrigramIndex(spark, a.index or os.path.join(root, ".gramforge"))
     if a.reindex:
         TrigramIndex.build(from_tree(spark, root, tuple(a.type), (*rules, *ALWAYS), use_gitignore=False), index.path, a.mode)
     search = Search(from_tree(spark, root, (), () if a.no_index else ALWAYS), index if index.exists() else None).ext(*a.type).ignore(*rules).limit(a.limit)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Rules that an index is always built with.
-ALWAYS = (".git/", ".cx/")
+ALWAYS = (".git/", ".gramforge/")
 
 
 def read_rules(text: str) -> list[str]:

@@ -65,7 +65,7 @@ class TreeChangesSource(DataSource):
 
 def events(changes: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
     """The changes that concern an index: named files outside its folder, with one of the extensions if any are given."""
-    out = changes.filter(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").rlike(r"(^|/)\.cx(/|$)"))
+    out = changes.filter(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").rlike(r"(^|/)\.gramforge(/|$)"))
     return out.filter(extension(F.col("path")).isin(*extensions)) if extensions else out
 
 
@@ -75,9 +75,9 @@ def apply_changes(index: TrigramIndex, changes: DataFrame) -> None:
     last = changes.groupBy("path").agg(F.max_by(F.struct("op", "content"), F.col("seq") if "seq" in changes.columns else F.when(F.col("op") == "delete", 1).otherwise(0)).alias("_c")).select("path", "_c.op", "_c.content")
     last = last.persist()
     known = index.table("files").filter("path is not null").groupBy("path").agg(F.max("file_id").alias("file_id"))
-    top = index.table("files").agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("top"))
+    top = index.table("files").agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]
     found = last.join(known, "path", "left")
-    fresh = found.filter("file_id is null and op != 'delete'").crossJoin(F.broadcast(top)).withColumn("file_id", F.col("top") + F.row_number().over(Window.orderBy("path"))).drop("top")
+    fresh = found.filter("file_id is null and op != 'delete'").withColumn("file_id", F.lit(top) + F.row_number().over(Window.orderBy("path")))
     changed = found.filter("file_id is not null and op != 'delete'").unionByName(fresh).select("file_id", "path", "content")
     gone = found.filter("file_id is not null and op = 'delete'").select("file_id")
     if not last.isEmpty():

@@ -125,7 +125,7 @@ def test_stream_of_changes(spark, tmp_path):
     index = I.TrigramIndex.build(rows(spark, ["alpha", "beta"]), str(tmp_path / "i"))
     folder = tmp_path / "changes"
     schema = "path string, op string, content binary"
-    spark.createDataFrame([("f0.txt", "modify", b"gamma"), ("n.txt", "create", b"alpha beta"), (".cx/x", "modify", b"alpha"), ("gone", "delete", None)], schema).coalesce(1).write.parquet(str(folder))
+    spark.createDataFrame([("f0.txt", "modify", b"gamma"), ("n.txt", "create", b"alpha beta"), (".gramforge/x", "modify", b"alpha"), ("gone", "delete", None)], schema).coalesce(1).write.parquet(str(folder))
     q = watch.keep_updated(spark.readStream.schema(schema).parquet(str(folder)), index, str(tmp_path / "c"), availableNow=True)
     q.awaitTermination(120)
     paths = lambda p: sorted(r.path for r in index.candidates(p).collect())
