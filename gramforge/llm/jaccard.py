@@ -6,10 +6,14 @@ out at once. Documents that may link share an n-gram of their first ones in the
 sets to compare form a prefix tree: they are walked in order, overlaps with the probe counted along a shared path serve
 all sets behind it, and a branch is left when what remains of set and probe can't make up the overlap that is needed.
 
-Which documents meet is found in three rounds. First every document meets the smallest one of one group, that of its most
-shared prefix n-gram; then the smallest ones of its other groups, if they are in another component; and last, in groups
-that still aren't connected, all documents of different components meet, unless bitmaps of their sets show that too many
-elements differ. Pairs left out are in one component already and can't change it. Copies of one set are one document here.
+join(), links() and linked_documents() walk these trees for all members of a prefix group, so that every link between
+different sets is found; a pair meets in the group of its first common n-gram. Copies of one set are one document here:
+links are pairs of sets, and a document's links follow from them and from how many documents have a set.
+
+near_duplicates() wants components only, and its documents meet in three rounds. First every document meets the smallest
+one of one group, that of its most shared prefix n-gram; then the smallest ones of its other groups, if they are in another
+component; and last, in groups that still aren't connected, all documents of different components meet, unless bitmaps of
+their sets show that too many elements differ. Pairs left out are in one component already and can't change it.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from pyspark.sql import functions as F
 
 from gramforge.llm import blocks as B
 from gramforge.llm.common import trim, written
-from gramforge.llm.components import components
+from gramforge.llm.components import components, forest_of
 
 U = np.uint64
 #: Sets that a task of the comparison holds, about; a probe with more partners is dealt to several tasks.
 TASK_SETS = 1500
 #: Members of a prefix group that meet as many others in one task.
 CHUNK = 512
+#: Elements before the one of a prefix group that its members carry along.
+LAST = 4
 #: Bits that describe a set when members of a prefix group meet.
 BITS = 512
 
@@ -70,7 +76,15 @@ def needed(a, b, percent: int):
 def overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
     """For each member the overlap with the probe, or -1 once it can't be enough. All arrays ascend. The members, sorted as
     sequences, are the prefix tree laid out flat: a node is a prefix that neighbours share."""
-    order = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
+    return walked(probe, members, tree_order(members), percent)
+
+
+def tree_order(members: list[np.ndarray]) -> list[int]:
+    return sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
+
+
+def walked(probe: np.ndarray, members: list[np.ndarray], order: list[int], percent: int) -> list[int]:
+    """overlaps() with those members only that `order` names, in tree order."""
     out = [-1] * len(members)
     before = np.zeros(0, np.uint64)
     path = np.zeros(1, np.int64)  # overlap of each prefix of the path above, the empty one included
@@ -136,21 +150,30 @@ def ordered_sets(blocks: DataFrame, words: int, percent: int) -> DataFrame:
     return B.settled(blocks.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(sets, schema), "sets")
 
 
-def prefix_of(percent: int):
+def prefix_of(percent: int, before: bool = False):
+    """before: also _p, the elements of the prefix that come before _e and that others may have: LAST of them, the nearest
+    first, zeros where there are none (0 is no shared element: its frequency class is 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = batch.column("_id").to_numpy(), batch.column("_set").to_pylist()
-            element, owner, place, size = [], [], [], []
+            element, owner, place, size, last = [], [], [], [], []
             for i, s in zip(ids.tolist(), sets, strict=True):
                 own = np.frombuffer(s, np.uint64)
                 head = own[: len(own) + percent * len(own) // -100 + 1]
                 at = np.flatnonzero(head >> U(56))  # what no other document has meets nobody
                 element.append(head[at])
+                if before:
+                    padded = np.concatenate([np.zeros(LAST, np.uint64), head[at]])
+                    last.append(np.stack([padded[LAST - 1 - k : LAST - 1 - k + len(at)] for k in range(LAST)], 1))
                 place.append(at)
                 owner.append(np.full(len(at), i))
                 size.append(np.full(len(at), len(own)))
             if element:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(element).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (owner, size, place))], ["_e", "_id", "_n", "_at"])
+                columns = [pa.array(np.concatenate(element).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (owner, size, place))]
+                if before:
+                    columns.append(pa.array([x.tobytes() for x in np.concatenate(last)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["_e", "_id", "_n", "_at", "_p"][: len(columns)])
 
     return run
 
@@ -223,6 +246,151 @@ def in_parts(rows: DataFrame, parts: DataFrame, column: str, name: str) -> DataF
     return rows.join(own, column, "left").withColumn(name, F.coalesce("_part", column)).drop("_part")
 
 
+def by_group(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each prefix group's pair of chunks in a task."""
+    rows = rows.sort_values(["_e", "_i", "_j"], ignore_index=True)
+    e, i, j = (rows[c].to_numpy() for c in ("_e", "_i", "_j"))
+    starts = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    for a, b in pairwise([*starts.tolist(), len(rows)]):
+        if b - a > 1:
+            yield rows.iloc[a:b]
+
+
+def may_meet(own: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which members of a prefix group may link and have none of their last elements before the group's in common (such
+    pairs meet in an earlier group), as a matrix whose upper triangle counts."""
+    n, at, chunk = (own[c].to_numpy() for c in ("_n", "_at", "_c"))
+    last = np.frombuffer(b"".join(own["_p"]), np.uint64).reshape(len(own), LAST)
+    k = np.arange(len(own))
+    may = k[:, None] < k
+    if own["_i"].iat[0] != own["_j"].iat[0]:
+        may &= chunk[:, None] != chunk
+    for x in range(LAST):
+        for y in range(LAST):
+            may &= (last[:, x][:, None] != last[:, y]) | (last[:, x] == 0)[:, None]
+    left = n - at - 1
+    return may & ((100 + percent) * (1 + np.minimum(left[:, None], left)) >= percent * (n[:, None] + n))
+
+
+def met_in(own: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a prefix group's chunks (one or two of them) that link and have no common element before the group's,
+    as positions in own."""
+    at = own["_at"].to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in own["_set"]]
+    may = may_meet(own, percent)
+    k = np.arange(len(own))
+    if may.any():  # pairs with an earlier common element meet in its group
+        kinds, column, count = np.unique(np.concatenate([s[:a] for s, a in zip(sets, at, strict=True)]), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count > 1)
+        for a in range(0, len(shared), 4096):
+            part = shared[a : a + 4096]
+            number = np.full(len(kinds), -1)
+            number[part] = np.arange(len(part))
+            where = number[column]
+            has = np.zeros((len(own), len(part)), np.float32)
+            has[np.repeat(k, at)[where >= 0], where[where >= 0]] = 1
+            may &= has @ has.T == 0
+    x, y = [], []
+    if may.any():
+        order = np.array(tree_order(sets))
+        for i in np.flatnonzero(may.any(1)):
+            asked = order[may[i][order]]
+            got = walked(sets[i], sets, asked.tolist(), percent)
+            found = [int(j) for j in asked if got[j] >= 0]
+            y += found
+            x += [int(i)] * len(found)
+    return np.array(x, np.int64), np.array(y, np.int64)
+
+
+def met_groups(single: DataFrame, percent: int) -> DataFrame:
+    """What the tasks of the whole join compare: members of prefix groups, in chunks, no more than two of them a group and
+    task. Members stay only where places, sizes and bitmaps leave them another one to link with, so that few sets travel;
+    groups whose members all have the same element before don't meet: they do so there."""
+    heads = written(single.select("_id", "_set").mapInArrow(prefix_of(percent, before=True), "_e long, _id long, _n long, _at long, _p binary"), "prefixes")
+    nearest = F.substring("_p", 1, 8)
+    size = heads.select("_e", nearest.alias("_q")).groupBy("_e").agg(F.count("*").alias("_g"), F.min("_q").alias("_u"), F.max("_q").alias("_v"))
+    size = size.filter((F.col("_g") > 1) & ((F.col("_u") != F.col("_v")) | (F.col("_u") == F.lit(bytes(8))))).select("_e", F.ceil(F.col("_g") / CHUNK).cast("int").alias("_chunks"))
+    own = heads.join(written(size, "groups"), "_e").withColumn("_c", F.pmod(F.xxhash64("_id"), "_chunks").cast("int"))
+    work = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_e", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_n", "_at", "_p")
+    work = written(work, "members")
+    tasks = max(8, -(-work.count() // (20 * TASK_SETS)))
+    dealt = work.join(bitmaps(single), "_id").withColumn("_task", F.pmod(F.xxhash64("_e", "_i", "_j"), F.lit(tasks)).cast("int"))
+    kept = [c for c in work.columns]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [rows[kept].iloc[:0]]
+        for own in by_group(rows):
+            may = may_meet(own, percent)
+            if may.any():
+                n, w = own["_n"].to_numpy(), np.stack(list(own["_w"])).view(np.uint64)
+                bits = sum(np.bitwise_count(w[:, k][:, None] ^ w[:, k]).astype(np.int64) for k in range(w.shape[1]))
+                may &= (100 + percent) * bits <= (100 - percent) * (n[:, None] + n)
+                some = may.any(0) | may.any(1)
+                if some.any():
+                    out.append(own[kept][some])
+        return pd.concat(out)
+
+    return B.settled(dealt.groupBy("_task").applyInPandas(run, work.schema), "met")
+
+
+def join(single: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """The whole join over distinct sets (_id, _set, _w: how many documents have the set). pairs: each link once, x and y.
+    Else id, n, root: what each task found of a set's links, counted in documents, and the smallest set they lead to."""
+    work = met_groups(single, percent)
+    tasks = max(8, -(-work.count() // TASK_SETS))
+    dealt = work.join(single.select("_id", "_set", "_w"), "_id").withColumn("_task", F.pmod(F.xxhash64("_e", "_i", "_j"), F.lit(tasks)).cast("int"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own in by_group(rows):
+            ids = own["_id"].to_numpy()
+            a, b = met_in(own, percent)
+            x.append(ids[a])
+            y.append(ids[b])
+        x, y = np.concatenate(x), np.concatenate(y)
+        if pairs:
+            return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        weight = rows.drop_duplicates("_id").set_index("_id")["_w"]
+        nodes, root = forest_of(x, y)
+        n = pd.Series(np.concatenate([weight[y].to_numpy(), weight[x].to_numpy()])).groupby(np.concatenate([x, y])).sum()
+        return pd.DataFrame({"id": nodes, "n": n[nodes].to_numpy(), "root": root}).astype("int64")
+
+    return B.settled(dealt.groupBy("_task").applyInPandas(run, "x long, y long" if pairs else "id long, n long, root long"), "joined")
+
+
+def distinct_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (_id, _none, _n, and _s: the number of the set where it may link) and the sets: _id, _own (the smallest id
+    of the documents that have it), _w (how many they are), _set."""
+    sets = ordered_sets(B.make_blocks(docs, id_col, text_col), words, percent)
+    first = sets.filter("_set is not null").groupBy("_a", "_b", "_n").agg(F.min(F.struct("_id", "_set")).alias("_f"), F.count("*").alias("_w"))
+    single = written(first.select("_a", "_b", "_n", F.col("_f._id").alias("_own"), "_w", "_f._set").withColumn("_id", F.monotonically_increasing_id()), "single-sets")
+    number = single.select("_a", "_b", "_n", F.col("_id").alias("_s"))
+    return written(sets.drop("_set").join(number, ["_a", "_b", "_n"], "left").select("_id", "_none", "_n", "_s"), "members"), single
+
+
+def links(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: members (id and set: one row for each row that has an id and a set that may be shared) and pairs
+    (x < y: every link between different sets, once). Documents link if they have one set or sets that link."""
+    every, single = distinct_sets(docs, percent, words, id_col, text_col)
+    return every.filter("_s is not null").select(F.col("_id").alias(id_col), F.col("_s").alias("set")), join(single, percent, pairs=True)
+
+
+def linked_documents(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates() by the whole join, with n_links: how many other rows a row links with, copies included."""
+    every, single = distinct_sets(docs, percent, words, id_col, text_col)
+    met = join(single, percent, pairs=False)
+    counts = single.select(F.col("_id").alias("_s"), "_own", "_w").join(met.groupBy("id").agg(F.sum("n").alias("_l")).withColumnRenamed("id", "_s"), "_s", "left")
+    counts = counts.select("_s", "_own", (F.col("_w") - 1 + F.coalesce("_l", F.lit(0))).alias("_k"))
+    rows = written(every.join(counts, "_s", "left").select("_id", "_none", "_n", "_own", "_k"), "counted")
+    names = single.select(F.col("_id").alias("n"), F.col("_own").alias("o"))
+    ends = met.filter("id != root").select(F.col("id").alias("x"), F.col("root").alias("y")).distinct()
+    ends = ends.join(names.withColumnRenamed("n", "x"), "x").select("y", F.col("o").alias("x")).join(names.withColumnRenamed("n", "y"), "y").select("x", F.col("o").alias("y"))
+    found = components(ends.unionByName(rows.filter("_own != _id").select(F.col("_id").alias("x"), F.col("_own").alias("y"))))
+    out = rows.join(found.withColumnRenamed("id", "_id"), "_id", "left")
+    own = lambda c: F.when(~F.col("_none"), c)
+    return out.select(own(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_k", F.lit(0)).alias("n_links"), own(F.coalesce("component_id", "_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles (size of its set) and component_id (smallest id reachable by links,
     itself included). Rows link when 100 * intersection >= percent * union. A null text is empty; texts without words link

@@ -17,7 +17,7 @@ def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_recompression": op5_recompression, "op10_prefix_tree_join": op10_prefix_tree_join, "op7_pivot_permutation": op7_pivot_permutation}

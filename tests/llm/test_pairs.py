@@ -90,6 +90,49 @@ def test_jaccard_chunks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_rows(rows)
 
 
+def link_counts(rows):
+    """For each row with an id the number of other rows that it links with."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    n = [0] * len(rows)
+    for (a, (i, x)), (b, (j, y)) in combinations(enumerate(sets), 2):
+        if i is not None and j is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            n[a] += 1
+            n[b] += 1
+    return sorted((-1 if i is None else i, len(x), k) for (i, x), k in zip(sets, n, strict=True))
+
+
+def variants(seed, n):
+    """Different texts that nearly all link with each other, and a few copies."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(120)] = f"z{i}x{rng.randint(0, 9)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, near_copies(1, 240), near_copies(3, 90, 300, 45), variants(1, 130)])
+def test_jaccard_whole_join(spark, monkeypatch, rows):
+    """Every link is counted, and pairs of sets with their members give the same links."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (512, 16):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        got = jaccard.linked_documents(docs).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.n_links) for r in got) == link_counts(rows)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == jaccard_rows(rows)
+    members, pairs = jaccard.links(docs)
+    held = {}
+    for r in members.collect():
+        held.setdefault(r.set, []).append(r.doc_id)
+    met = [(r.x, r.y) for r in pairs.collect()]
+    assert len(met) == len(set(met)) and all(x < y for x, y in met)
+    total = 2 * sum(len(held[x]) * len(held[y]) for x, y in met) + sum(len(h) * (len(h) - 1) for h in held.values())
+    assert total == sum(n for _, _, n in link_counts(rows))
+
+
 def test_jaccard_clashing_names_and_no_rows(awkward, no_documents):
     assert jaccard.near_duplicates(awkward).count() == len(AWKWARD)
     assert jaccard.near_duplicates(no_documents).count() == 0
