@@ -319,3 +319,9 @@ register(
     lambda s, d: texts_of(corpus(s, d)).select("file_id", F.explode(text.lines(F.col("content"))).alias("x")).filter(F.octet_length("x") < 40).select("file_id", "x", text.json_string(F.col("x"), ascii_bytes=True).alias("escaped")),
     f"WITH {_lines()}, h AS (SELECT file_id, content AS x, list_transform(range(0, strlen(content)), lambda k: substr(hex(encode(content)), 2 * k + 1, 2)) AS bytes FROM l WHERE strlen(content) < 40) SELECT file_id, x, array_to_string(list_transform(bytes, lambda b: CASE WHEN b = '22' THEN chr(92) || '\"' WHEN b = '5C' THEN chr(92) || chr(92) WHEN b < '20' OR b >= '80' THEN chr(92) || 'u00' || lower(b) ELSE chr(('0x' || b)::INT) END), '') AS escaped FROM h",
 )
+# the same of all lines, however long
+register(
+    "json_escape_lines",
+    lambda s, d: texts_of(corpus(s, d)).select("file_id", F.posexplode(text.lines(F.col("content"))).alias("p", "x")).select("file_id", (F.col("p") + 1).alias("line"), text.json_string(F.col("x"), ascii_bytes=True).alias("escaped")),
+    f"WITH {_lines()} SELECT file_id, line, array_to_string(list_transform(regexp_extract_all(content, '(?s).'), lambda c: CASE WHEN c IN ('\"', chr(92)) THEN chr(92) || c WHEN c = chr(9) THEN chr(92) || 't' WHEN c = chr(13) THEN chr(92) || 'r' WHEN ord(c) BETWEEN 32 AND 127 THEN c ELSE regexp_replace(lower(hex(encode(c))), '(..)', chr(92) || chr(92) || 'u00' || chr(92) || '1', 'g') END), '') AS escaped FROM l",
+)

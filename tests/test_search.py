@@ -191,3 +191,16 @@ def test_command_line(spark, tree):
     assert run("IMPORT", "-i", "--files-only", "--limit", "1", "--no-index").count("\n") == 1
     assert json.loads(run("(", "-r", "--json")) == []
     assert cli.main(["x", "-p", str(tree / "nowhere")], spark) == 1
+
+
+def escaped(data):
+    named = {0x22: '\\"', 0x5C: "\\\\", 10: "\\n", 13: "\\r", 9: "\\t"}
+    return "".join(named.get(b, chr(b) if 0x20 <= b < 0x80 else f"\\u{b:04x}") for b in data)
+
+
+def test_json_escape_of_all_lines(spark, tmp_path):
+    texts = ["é" * 30 + ' "q" \\ \t\x01\x7f end', "short", "x" * 5000 + "ç\r\n\r\r\n", "", "a" * 39 + "\n" + "b" * 40 + "\n🙂"]
+    spark.createDataFrame([(i, "s", "en", t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.file_id, r.line): r.escaped for r in catalogue.QUERIES["json_escape_lines"](spark, str(tmp_path)).collect()}
+    lines = {i: t.encode().removesuffix(b"\n").split(b"\n") for i, t in enumerate(texts) if t}
+    assert got == {(i, k + 1): escaped(x.removesuffix(b"\r")) for i, own in lines.items() for k, x in enumerate(own)}
