@@ -10,7 +10,7 @@ from gramforge.llm.common import table
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return merkle.audit(merkle.Replica(pages), merkle.Replica(merkle.damaged(pages)))
+    return merkle.audit_records(merkle.Replica(pages), merkle.Replica(merkle.damaged(pages)))
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,51 @@ def test_descent_reads_differing_branches_only(spark):
         assert [r.node for r in x] == [77 >> 4 * k]
 
 
+def test_records_that_share_an_id(spark):
+    """One row for each corrupt, lost or added record among records with one id, or none."""
+    own = lambda i, k: (i, "https://h", f"body {k}", "clash", 1)
+    rows = [own(i, k) for i in (5, None) for k in range(40)] + [own(5, 7), page(1), page(9)]
+    other = [r for r in rows if r[2] not in ("body 3", "body 4")] + [own(5, "new"), own(None, "new"), own(None, "newer"), own(None, "newest")]
+    other.remove(own(5, 7))  # one of two equal ones
+    a = merkle.Replica(pages(spark, rows))
+    assert merkle.audit_records(a, merkle.Replica(pages(spark, rows[::-1]))).count() == 0
+    got = merkle.audit_records(a, merkle.Replica(pages(spark, other))).collect()
+    sha = lambda k: hashlib.sha256(record("https://h", f"body {k}")).hexdigest()
+    for i, status in ((5, ["altered", "missing", "missing"]), (None, ["altered", "altered", "extra"])):
+        found = [r for r in got if r.record_id == i]
+        assert sorted(r.status for r in found) == status
+        assert {r.digest for r in found} - {None} == {sha(3), sha(4)} | ({sha(7)} if i else set())
+        assert {r.replica_digest for r in found} - {None} == ({sha("new")} if i else {sha("new"), sha("newer"), sha("newest")})
+    assert len(got) == 6
+    order = sorted([(sha(r[2][5:]), len(record(r[1], r[2]))) for r in rows if r[0] == 5])
+    start = len(record("https://h/1", "<p>é</p>"))
+    for r in got:
+        if r.record_id == 5 and r.digest in (sha(3), sha(4)):
+            k = [d for d, _ in order].index(r.digest)
+            assert r.warc_offset == start + sum(n for _, n in order[:k]) and r.n_bytes == order[k][1]
+
+
+def test_layout(spark):
+    """Records in another order, shifted or at wrong offsets, in a place of their own each."""
+    def laid(rows, gap=0, wrong=()):
+        out, at = [], {}
+        for k, (f, i) in enumerate(rows):
+            out.append((f, at.get(f, 0) + (gap if k >= 300 else 0) + (1 if k in wrong else 0), i, f"u{i}", "x" * (i % 9)))
+            at[f] = at.get(f, 0) + len(record(f"u{i}", "x" * (i % 9)))
+        return merkle.Layout(spark.createDataFrame(out, "file string, at long, page_id long, url string, html string").repartition(3), "file", "at")
+
+    rows = [("f0", i) for i in range(280)] + [("f1", i) for i in range(1000, 1040)]
+    a = laid(rows)
+    assert [level.count() for level in a.levels] == [320, 21, 3, 2]
+    found = lambda b: sorted((r.file, r.place, r.status) for r in merkle.audit_layout(a, b).collect())
+    assert found(laid(rows)) == []
+    assert found(laid(rows, gap=7)) == [("f1", k, "moved") for k in range(20, 40)]
+    assert found(laid(rows, wrong=(77,))) == [("f0", 77, "moved")]
+    swapped = rows[:9] + [rows[18], *rows[10:18], rows[9]] + rows[19:]  # u18 is a byte longer than u9
+    assert found(laid(swapped)) == [("f0", 9, "altered"), *[("f0", k, "moved") for k in range(10, 18)], ("f0", 18, "altered")]
+    assert found(laid(rows[:-1])) == [("f1", 39, "missing")] and found(laid([*rows, ("f2", 3)])) == [("f2", 0, "extra")]
+
+
 # -- mixing
 
 
