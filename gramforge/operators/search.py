@@ -14,6 +14,7 @@ from gramforge.functions.dialect import BadPattern
 from gramforge.functions.ignore import Rules, kept
 from gramforge.operators.index import IndexMismatch, TrigramIndex
 from gramforge.operators.scan import Pattern, ranked, scan
+from gramforge.sources.corpus import known_by
 
 log = logging.getLogger(__name__)
 
@@ -67,7 +68,8 @@ class Search:
         if self.extensions:
             out = out.filter(text.extension(F.col("path")).isin(*self.extensions))
         if uses_index:
-            out = out.join(self.index.candidates(self.pattern.value).select("file_id"), "file_id", "left_semi")
+            key = known_by(self.corpus)
+            out = out.join(self.index.candidates(self.pattern.value).select(key), key, "left_semi")
         return out
 
     def to_df(self) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gramforge.sources.tree import TreeSource
 
+#: Metadata of the path of a corpus whose file ids are no lasting ones.
+BY_PATH = "gramforge.by_path"
+
 
 def from_table(df: DataFrame, file_id: str, content: str, path: Column | str) -> DataFrame:
     """Rows of a table as files."""
@@ -15,10 +18,16 @@ def from_table(df: DataFrame, file_id: str, content: str, path: Column | str) ->
 
 
 def from_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), rules: tuple[str, ...] = (), use_gitignore: bool = True) -> DataFrame:
-    """The regular files below a directory that every executor sees, with paths relative to it, numbered by path from 0."""
+    """The regular files below a directory that every executor sees, with paths relative to it, numbered by path from 0.
+    The numbers change with the tree, so searches know its files by path."""
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("tree").option("root", root).option("extensions", "\n".join(extensions)).option("rules", "\n".join(rules)).option("gitignore", str(use_gitignore).lower())
-    return numbered(reader.load())
+    return numbered(reader.load()).withMetadata("path", {BY_PATH: True})
+
+
+def known_by(corpus: DataFrame) -> str:
+    """The column by which an index and a corpus mean the same file: path in trees, file_id in tables."""
+    return "path" if corpus.schema["path"].metadata.get(BY_PATH) else "file_id"
 
 
 def numbered(files: DataFrame) -> DataFrame:

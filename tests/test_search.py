@@ -204,3 +204,33 @@ def test_json_escape_of_all_lines(spark, tmp_path):
     got = {(r.file_id, r.line): r.escaped for r in catalogue.QUERIES["json_escape_lines"](spark, str(tmp_path)).collect()}
     lines = {i: t.encode().removesuffix(b"\n").split(b"\n") for i, t in enumerate(texts) if t}
     assert got == {(i, k + 1): escaped(x.removesuffix(b"\r")) for i, own in lines.items() for k, x in enumerate(own)}
+
+
+def test_indexed_search_after_changes_of_the_tree(spark, tree, tmp_path):
+    """Files that come or go behind the index's back shift numbers, not what is found in the others."""
+    index = I.TrigramIndex.build(from_tree(spark, str(tree)), str(tmp_path / "i"))
+    found = lambda p: sorted(r.path for r in Search(from_tree(spark, str(tree)), index).literal(p).ext(".py").to_df().collect())
+    every = [".hid/b.py", "a.py", "sub/é.py"]
+    assert found("import") == every
+    (tree / ".a.py").write_bytes(b"nothing\n")
+    assert found("import") == every and found("print") == ["a.py"]
+    (tree / ".hid/b.py").unlink()
+    (tree / ".a.py").unlink()
+    assert found("import") == every[1:]
+    (tree / "b.py").write_bytes(b"import fresh words\n")
+    q = watch.watch_tree(spark, str(tree), index, str(tmp_path / "c"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert found("fresh") == ["b.py"] and found("import") == ["a.py", "b.py", "sub/é.py"]
+
+
+def test_command_line_with_an_index_of_some_types(spark, tree):
+    def run(*args):
+        out = io.StringIO()
+        assert cli.main(["import", "--json", "--files-only", *args, "-p", str(tree)], spark, out) == 0
+        return [x["file"] for x in json.loads(out.getvalue())]
+
+    py = [".hid/b.py", "a.py", "sub/é.py"]
+    assert sorted(run("--reindex", "-t", ".py")) == py and sorted(run("-t", ".py")) == py and sorted(run()) == py
