@@ -176,6 +176,10 @@ _CR = Pattern("(^|[^b])b$|d$|a$", regex=True)
 register("crlf_strip", lambda s, d: scan(_edges(s, d).filter("file_id != 7"), _CR).select("file_id", "match_count", "total_lines"), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, match_count, total_lines FROM ({_counts(_CR)})")
 register("edge_trigrams", lambda s, d: T.with_trigrams(texts_of(_edges(s, d))).select("file_id", F.array_join(F.col("trigrams").cast("array<string>"), ",").alias("trigrams")), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')}, t AS {_PAIRS.format(lines='l')} SELECT c.file_id, coalesce(string_agg(trigram::VARCHAR, ',' ORDER BY trigram), '') AS trigrams FROM c LEFT JOIN t USING (file_id) GROUP BY c.file_id UNION ALL VALUES (7::BIGINT, '')")
 
+# row 7, the long line with a NUL, which the two queries above leave out: the SQL has its expected rows as constants, bytes in hex
+register("line_split_nul", lambda s, d: texts_of(_edges(s, d).filter("file_id = 7")).select("file_id", F.explode(text.numbered(F.col("content"))).alias("x")).select("file_id", "x.line", F.hex("x.content").alias("content")), "SELECT 7::BIGINT AS file_id, 1::INT AS line, repeat('62', 9000) || '0062' AS content UNION ALL VALUES (7::BIGINT, 2::INT, '62')")
+register("crlf_strip_nul", lambda s, d: scan(_edges(s, d).filter("file_id = 7"), _CR).select("file_id", "match_count", "total_lines"), "SELECT 7::BIGINT AS file_id, 2::BIGINT AS match_count, 2::INT AS total_lines")
+
 # -- lines and trigrams
 
 register(

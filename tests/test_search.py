@@ -234,3 +234,10 @@ def test_command_line_with_an_index_of_some_types(spark, tree):
 
     py = [".hid/b.py", "a.py", "sub/é.py"]
     assert sorted(run("--reindex", "-t", ".py")) == py and sorted(run("-t", ".py")) == py and sorted(run()) == py
+
+
+def test_long_line_with_nul(spark):
+    """The fixture's row 7 is split and scanned by a registered query."""
+    got = catalogue.QUERIES["line_split_nul"](spark, SF).orderBy("line").collect()
+    assert [bytes.fromhex(r.content) for r in got] == (b"b" * 9000 + b"\0b\nb").split(b"\n")
+    assert [tuple(r) for r in catalogue.QUERIES["crlf_strip_nul"](spark, SF).collect()] == [(7, 2, 2)]
