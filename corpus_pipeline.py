@@ -1,7 +1,8 @@
 """A pipeline over `documents`: toxic documents go, one of each group of near copies stays, passages that an earlier
 document has go, sources are mixed to target weights, and what is left is encoded.
 
-Each stage is written as Parquet and read again by the next one. Rows that share a doc_id stay or go together.
+Each stage is written as Parquet and read again by the next one. Of near copies one row stays, whatever ids the rows have or
+share; in the other stages rows that share a doc_id stay or go together.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, and so do rows without an id."""
-    groups = written(jaccard.near_duplicates(docs).filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays: the one with the smallest id, rows without an id last. Rows are told apart by a key of
+    their own, so that null and repeated ids link, stay and go like others."""
+    keyed = written(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    ids = keyed.select("_row_key", F.col("doc_id").isNull().alias("_none"), "doc_id")
+    groups = written(jaccard.near_duplicates(keyed, id_col="_row_key").join(ids, "_row_key"), "near-copies")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row_key")).alias("_f")).select(F.col("_f._row_key").alias("_row_key"))
+    return keyed.join(groups.select("_row_key").join(first, "_row_key", "left_anti"), "_row_key", "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,5 +57,14 @@ def test_awkward(spark, awkward, no_documents):
         assert out.count() == rows.count() <= 2 * len(AWKWARD)
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    """One row of each group stays, and no other row goes with it."""
+    words = lambda k: " ".join(f"g{k}w{i}" for i in range(30))
+    rows = [(1, words(0)), (1, words(0)), (None, words(0) + " end"), (None, words(1)), (None, words(1)), (2, words(0) + " end"), (2, words(2)), (7, words(3)), (6, words(3)), (None, words(3)), (8, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id or -1, r.text or "") for r in dict(p.STAGES)["near_copies"](spark, docs, SF).collect()))
+    assert got == sorted([(1, words(0)), (-1, words(1)), (2, words(2)), (6, words(3)), (8, ""), (-1, "")])
+
+
 def test_model_for_nothing():
     assert len(toxicity.Scorer(toxicity.fit([])).scores(["a b", ""])) == 2
