@@ -43,12 +43,14 @@ def nearest(pivots: np.ndarray, x: np.ndarray, k: int = NEAREST) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """_id, _v, _l of the vectors that can be linked: one for each id (the least one of repeated rows), without null or
-    non-finite components, not zero, with a label."""
+    """_id, _v, _l of the different vectors that can be linked, without null or non-finite components, not zero, with a
+    label and an id; _many: whether their id has several."""
     own = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).cast("string").alias("_l"))
-    own = own.filter("_id is not null").groupBy("_id").agg(F.min(F.struct("_v", "_l")).alias("_s")).select("_id", "_s._v", "_s._l")
     bad = F.exists("_v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return own.filter(F.col("_l").isNotNull() & F.col("_v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("_v", lambda c: c != 0))
+    own = own.filter(F.col("_id").isNotNull() & F.col("_l").isNotNull() & F.col("_v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("_v", lambda c: c != 0))
+    own = written(own.distinct(), "usable-vectors")
+    many = own.groupBy("_id").count().filter("count > 1").select("_id", F.lit(True).alias("_many"))
+    return own.join(many, "_id", "left").withColumn("_many", F.coalesce("_many", F.lit(False)))
 
 
 def unit(rows: list) -> np.ndarray:
@@ -58,11 +60,12 @@ def unit(rows: list) -> np.ndarray:
 
 
 def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """Rows (id, n, root): each comparison of chunks gives n, the links found of a vector, and root, the smallest id that
-    these links lead to. Links are pairs with equal labels and dimensions whose cosine in double precision reaches the
+    """Rows (id, n, root, other): each comparison of chunks gives n, the links found of a vector, and root, the smallest id
+    that these links lead to. Where one end's id has several vectors, its links aren't in n, but rows with the id at the
+    other end as `other` (else null), for two ids may link by more than one pair of vectors. Links are pairs with equal labels and dimensions whose cosine in double precision reaches the
     threshold."""
     good = usable(vectors, id_col, vector_col, label_col)
-    sample = good.select("_v", F.size("_v").alias("_n"), F.xxhash64("_id", "_l").alias("_h"), "_id").orderBy("_h", "_id").limit(PIVOT_SAMPLE).collect()
+    sample = good.select("_v", F.size("_v").alias("_n"), F.xxhash64("_id", "_l").alias("_h"), "_id").orderBy("_h", "_id", "_v").limit(PIVOT_SAMPLE).collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(r._n, []).append(r._v)
@@ -79,22 +82,22 @@ def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
                 pivots = shipped.value.get(int(n))
                 # a dimension that the sample missed has the one list 0
                 near = np.sort(nearest(pivots, x), axis=1) if pivots is not None else np.zeros((len(own), 1), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([labels[i] for i in own], pa.string()), pa.array([n] * len(own), pa.int32()), pa.array(list(near), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "_l", "_n", "_near", "_x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([labels[i] for i in own], pa.string()), pa.array([n] * len(own), pa.int32()), pa.array(list(near), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("_many").take(pa.array(own))], ["_id", "_l", "_n", "_near", "_x", "_many"])
 
-    described = written(good.mapInArrow(describe, "_id long, _l string, _n int, _near array<int>, _x binary"), "vectors")
+    described = written(good.mapInArrow(describe, "_id long, _l string, _n int, _near array<int>, _x binary, _many boolean"), "vectors")
     first = F.greatest(F.lit(1), F.size("_near") - (SHARED - 1))
     listed = described.withColumn("_p", F.explode(F.slice("_near", 1, first)))
     sizes = listed.groupBy("_l", "_n", "_p").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
-    listed = listed.join(sizes, ["_l", "_n", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_id"), "_chunks").cast("int"))
+    listed = listed.join(sizes, ["_l", "_n", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_id", "_x"), "_chunks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    work = listed.withColumn("_o", other).select("_l", "_n", "_p", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_near", "_x")
+    work = listed.withColumn("_o", other).select("_l", "_n", "_p", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_near", "_x", "_many")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, here = int(rows["_i"].iloc[0]), int(rows["_j"].iloc[0]), int(rows["_p"].iloc[0])
         side = lambda c: rows[rows["_c"] == c] if i != j else rows
         a, b = side(i), side(j)
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+            return pd.DataFrame({"id": [], "n": [], "root": [], "other": []}).astype({"id": "int64", "n": "int64", "root": "int64", "other": "Int64"})
         xa, xb = (np.frombuffer(b"".join(s["_x"]), np.float64).reshape(len(s), -1) for s in (a, b))
         na, nb = (np.array(list(s["_near"])) for s in (a, b))
 
@@ -109,9 +112,10 @@ def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
             shared &= ma[:, :here] @ mb[:, :here].T == 0
         link = shared & (xa @ xb.T >= threshold)
         ia, ib = a["_id"].to_numpy(), b["_id"].to_numpy()
-        if i == j:
-            np.fill_diagonal(link, False)
-        counted = [(ia, link.sum(1))] + ([(ib, link.sum(0))] if i != j else [])
+        link &= ia[:, None] != ib
+        several = link & (a["_many"].to_numpy()[:, None] | b["_many"].to_numpy())
+        plain = link & ~several
+        counted = [(ia, plain.sum(1))] + ([(ib, plain.sum(0))] if i != j else [])
         la, lb = ia.copy(), ib.copy()
         big = np.iinfo(np.int64).max
         while True:
@@ -121,16 +125,22 @@ def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
                 break
             la, lb = new, after
         out = pd.DataFrame({"id": np.concatenate([c[0] for c in counted]), "n": np.concatenate([c[1] for c in counted]), "root": np.concatenate([la] + ([lb] if i != j else []))})
-        return out[out["n"] > 0].astype("int64")
+        out = out[(out["n"] > 0) | (out["root"] != out["id"])].astype("int64")
+        at, to = several.nonzero()
+        pairs = pd.DataFrame({"id": np.concatenate([ia[at], ib[to]]), "other": np.concatenate([ib[to], ia[at]])}).drop_duplicates()
+        pairs = pairs.assign(n=0, root=pairs["id"])[["id", "n", "root", "other"]]
+        return pd.concat([out.assign(other=pd.array([None] * len(out), "Int64")), pairs.astype({"other": "Int64"})])
 
-    return written(work.groupBy("_l", "_n", "_p", "_i", "_j").applyInPandas(compare, "id long, n long, root long"), "vector-links")
+    return written(work.groupBy("_l", "_n", "_p", "_i", "_j").applyInPandas(compare, "id long, n long, root long, other long"), "vector-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row for each vector (id): n_links, component_id and kept. Rows with one id count as one vector; rows without an
-    id give one row without links, component or keeping. Vectors that can't be linked are components of their own."""
+    """One row for each vector (id): n_links, component_id and kept. Rows with one id are one document: it links with
+    another id, once, if any of its vectors does. Rows without an id give one row without links, component or keeping. Vectors that can't be linked are components of their own."""
     links = near_links(vectors, threshold, id_col, vector_col, label_col)
-    counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
+    # links by several vectors count once
+    plain = links.filter("other is null").select("id", "n").unionByName(links.filter("other is not null").select("id", "other").distinct().select("id", F.lit(1).cast("long").alias("n")))
+    counts = plain.groupBy("id").agg(F.sum("n").alias("n_links"))
     found = components(links.select("id", "root"))
     every = vectors.select(F.col(id_col).cast("long").alias("_id")).distinct()
     out = every.join(counts.withColumnRenamed("id", "_id"), "_id", "left").join(found.withColumnRenamed("id", "_id"), "_id", "left")

@@ -287,3 +287,14 @@ def test_vectors_repeated_and_no_rows(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
     assert got == {1: (1, 1), 2: (1, 1)}
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_repeated_ids(spark, monkeypatch):
+    """All usable vectors of an id are compared, links with another id count once, and unusable rows hide none."""
+    near = lambda x, k: [x, 1.0 - x, 0.001 * k]
+    rows = [(1, None, 1), (1, near(1.0, 0), 1), (2, near(1.0, 1), 1), (3, near(0.0, 0), 1), (3, near(1.0, 2), 1), (3, near(1.0, 3), 1), (4, near(0.0, 1), 1), (4, near(0.0, 2), None), (5, [-1.0, 0.0, 0.0], 1), (5, [-1.0, 0.0, 0.001], 1), (None, near(1.0, 0), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for chunk in (1024, 2):
+        monkeypatch.setattr(vectors, "CHUNK", chunk)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
+        assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (3, 1, False), 4: (1, 1, False), 5: (0, 5, True), None: (0, None, False)}
