@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     their own, so that null and repeated ids link, stay and go like others."""
     keyed = written(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
     ids = keyed.select("_row_key", F.col("doc_id").isNull().alias("_none"), "doc_id")
-    groups = written(jaccard.near_duplicates(keyed, id_col="_row_key").join(ids, "_row_key"), "near-copies")
+    groups = written(jaccard.linked_documents(keyed, id_col="_row_key").join(ids, "_row_key"), "near-copies")
     first = groups.groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row_key")).alias("_f")).select(F.col("_f._row_key").alias("_row_key"))
     return keyed.join(groups.select("_row_key").join(first, "_row_key", "left_anti"), "_row_key", "left_anti").select(*docs.columns)
 
@@ -45,9 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document (`ids`, little-endian unsigned 32-bit integers), their number and digests."""
     import public_tokenizers
 
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeats", drop_repeats), ("mixing", mix_sources), ("encoding", encode)]
