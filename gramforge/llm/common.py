@@ -31,9 +31,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a local session gets a
+    new folder of its own (tests); a cluster has no folder that would do."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="gramforge-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -48,6 +51,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """written(), dealt out by a key into as many files as the session has shuffle partitions: joins and cogroups by that
+    key read it without another exchange. The catalog forgets the table at once; its files stay."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = uuid.uuid4().hex
+    as_table = f"gramforge_{name.replace('-', '_')}_{mark}"
+    own = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd")
+    own.option("path", f"{shared(spark).rstrip('/')}/{name}-{mark}").saveAsTable(as_table)
+    out = spark.table(as_table)
+    spark.sql(f"DROP TABLE {as_table}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -45,7 +45,7 @@ BITS = 512
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word n-grams, and the number of the text of each; a text with fewer words has one n-gram of all. Words
     lie between ASCII white space; A-Z are lower-cased."""
-    hashes, sizes = B.word_hashes([t.lower().split() for t in texts])
+    hashes, sizes = B.word_hashes([t.lower() for t in texts])
     total = len(hashes)
     text = np.repeat(np.arange(len(texts)), sizes)
     key = np.zeros(max(0, total - words + 1), np.uint64)

@@ -7,7 +7,9 @@ each symbol carries the range of words that decides it. A window holds a symbol
 
 Each window picks one of the certain symbols of its highest level, the least by hash, so equal windows pick alike. The
 words that decide the picked symbol are its key. Only windows whose key occurs in several documents can be repeats: the
-shared symbols reveal them. These are verified by 96 bits of all their words, and the smallest document of each is found.
+shared symbols reveal them. These are verified by 96 bits of all their words, and the smallest document of each is found:
+a block sends each of its distinct windows once, with the smallest id it has it in, and is told whether another block has a
+smaller one. What its own documents share it sees itself.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from gramforge.llm.common import trim
 U = np.uint64
 ROUNDS = 3
 _R, _Q = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)  # odd bases of rolling hashes
-_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<u4")])
 
 
 def _powers(base: U, n: int) -> np.ndarray:
@@ -67,7 +68,7 @@ def next_level(x: Level, round_: int) -> Level:
     start = x.start[at]
     # pairs: a symbol of the left side joins a following one of the right side
     m = len(name)
-    right = (B.mixed(name + U(round_ + 1) * _Q) >> U(63)).astype(bool)
+    right = (B.mixed(name + U((round_ + 1) * int(_Q) % (1 << 64))) >> U(63)).astype(bool)
     joins = np.zeros(m, bool)  # with the next one
     joins[:-1] = ~right[:-1] & right[1:]
     second = np.concatenate([[False], joins[:-1]])
@@ -118,11 +119,11 @@ def window_keys(words: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarra
 
 class Parsed:
     """A block's words and windows. Documents are parted by separators that no window holds; each has a hash of its own,
-    so that it joins no run."""
+    so that it joins no run. `name` is a hash of each window's words, `kinds` the distinct names in ascending order, `of` the
+    place of each window's name in them, and `least` the smallest id (of `ids`) of a document that has it."""
 
-    def __init__(self, texts: list[bytes], size: int):
-        self.split = [t.split() for t in texts]
-        hashes, self.sizes = B.word_hashes(self.split)
+    def __init__(self, texts: list[bytes], size: int, ids: np.ndarray | None = None):
+        hashes, self.sizes = B.word_hashes(texts)
         n = len(texts)
         self.first = np.cumsum(self.sizes) - self.sizes + np.arange(n)  # of each document's words, separators counted
         total = len(hashes) + n
@@ -136,10 +137,26 @@ class Parsed:
         self.size = size
         self.windows = np.flatnonzero(full[size:] == full[:-size]) if total >= size else np.zeros(0, np.int64)
         self.doc = np.searchsorted(self.first, self.windows, "right") - 1
+        if ids is not None:
+            name = B.mixed(range_hash(rolling(self.words, _R), self.windows, self.windows + size))
+            order = np.argsort(name, kind="stable")
+            new = np.ones(len(order), bool)
+            new[1:] = name[order[1:]] != name[order[:-1]]
+            starts = np.flatnonzero(new)
+            self.kinds, self.one = name[order[starts]], order[starts]
+            self.of = np.empty(len(order), np.int64)
+            self.of[order] = np.cumsum(new) - 1
+            self.owner = ids[self.doc]
+            self.least = np.minimum.reduceat(self.owner[order], starts) if len(starts) else self.owner
 
     def keys(self) -> np.ndarray:
         return window_keys(self.words, self.size)[self.windows] if len(self.windows) else np.zeros(0, np.uint64)
 
+    def more(self, places: np.ndarray) -> np.ndarray:
+        """32 further bits of the words of the windows at these places."""
+        at = self.windows[places]
+        return (B.mixed(range_hash(rolling(B.mixed(self.words ^ _Q), _Q), at, at + self.size)) >> U(32)).astype(np.uint32)
+
 
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -149,7 +166,8 @@ def dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str
     nothing is removed, else the kept words joined by one space) and kept_sha256 (of the kept words joined by one space).
     A word goes if a window of `size` words around it also starts in a document with a smaller id; windows are judged on
     the input. Words lie between ASCII white space. Null texts have none; rows without an id come after all others, and
-    rows that share an id don't remove from each other."""
+    rows that share an id don't remove from each other. A task holds one block, or one text that is longer, at about 100
+    bytes a word."""
     carried = docs.drop(text_col)
     blocks = B.make_blocks(docs, id_col, text_col, carried.columns)
     n = B.n_buckets(blocks)
@@ -161,65 +179,80 @@ def dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str
     classes = B.frequency_classes(blocks, key_of, n, "symbol-classes")
 
     def candidates(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """For each bucket: which of the block's distinct windows in it may be repeats, their names, 32 bits more, and the
+        smallest id that has them in this block. However often a block has a window, it is sent once."""
         ids, _, texts = B.unpacked(block.iloc[0])
-        p = Parsed(texts, size)
-        kinds, place = np.unique(p.keys(), return_inverse=True)
-        mine = np.flatnonzero(B.classes_of(kinds, answers, n)[place] > 0) if len(kinds) else np.zeros(0, np.int64)
-        at, doc = p.windows[mine], p.doc[mine]
-        entry = np.empty(len(at), _ENTRY)
-        entry["h"] = B.mixed(range_hash(rolling(p.words, _R), at, at + size))
-        entry["g"] = (B.mixed(range_hash(rolling(B.mixed(p.words ^ _Q), _Q), at, at + size)) >> U(32)).astype(np.uint32)
-        entry["at"] = at
-        order, found, starts, _ = B.by_bucket(entry["h"], n)
-        entry, doc = entry[order], doc[order]
-        bodies = []
-        for a, b in zip(starts, starts[1:], strict=False):
-            # the order within a bucket is that of the windows, so documents ascend
-            own, first = np.unique(doc[a:b], return_index=True)
-            bodies.append(np.uint32(len(own)).tobytes() + first.astype("<u4").tobytes() + ids[own].astype("<i8").tobytes() + entry[a:b].tobytes())
-        del p, kinds, place, entry
+        p = Parsed(texts, size, ids)
+        keys = p.keys()[p.one]
+        kinds, place = np.unique(keys, return_inverse=True)
+        may = B.classes_of(kinds, answers, n)[place] > 0
+        found, starts, _ = B.by_bucket(p.kinds, n)
+        further = np.zeros(len(may), np.uint32)
+        further[may] = p.more(p.one[may])
+        out = []
+        for k, a, b in zip(found.tolist(), starts, starts[1:], strict=False):
+            on = np.flatnonzero(may[a:b]) + a
+            if len(on):
+                owners, which = np.unique(p.least[on], return_inverse=True)
+                out.append((k, B.joined(B.number(b - a), np.packbits(may[a:b]).tobytes(), B.packed(p.kinds[on], 5), further[on].tobytes(), owners.tobytes(), B.packed(which.astype(np.uint32), 0))))
+        number = block["block"].iloc[0]
+        del p, keys, kinds, place
         trim()
-        return pd.DataFrame({"bucket": found.astype(np.int32), "block": np.full(len(found), block["block"].iloc[0]), "body": bodies})
+        return pd.DataFrame({"bucket": np.array([k for k, _ in out], np.int32), "block": np.full(len(out), number), "body": [x for _, x in out]})
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        entries, owners = [], []
+        """For each block, which of its distinct windows in the bucket a document with a smaller id has in another block."""
+        masks, names, further, owner = [], [], [], []
         for body in rows["body"]:
-            m = int(np.frombuffer(body, "<u4", 1)[0])
-            first, ids = np.frombuffer(body[4 : 4 + 4 * m], "<u4"), np.frombuffer(body[4 + 4 * m : 4 + 12 * m], "<i8")
-            entries.append(np.frombuffer(body[4 + 12 * m :], _ENTRY))
-            owners.append(np.repeat(ids, np.diff(np.append(first, len(entries[-1])))))
-        ends = np.cumsum([len(e) for e in entries]).tolist()
-        every, owner = np.concatenate(entries), np.concatenate(owners)
-        order = np.lexsort((owner, every["g"], every["h"]))
-        h, g = every["h"][order], every["g"][order]
+            total, may, kinds, bits, owners, which = B.parted(body)
+            masks.append(np.unpackbits(np.frombuffer(may, np.uint8), count=int.from_bytes(total, "little")).astype(bool))
+            m = int(masks[-1].sum())
+            names.append(B.unpack(kinds, m, 5, np.uint64))
+            further.append(np.frombuffer(bits, np.uint32))
+            owner.append(np.frombuffer(owners, np.int64)[B.unpack(which, m, 0, np.uint32)])
+        ends = np.cumsum([len(x) for x in names]).tolist()
+        h, g, o = np.concatenate(names), np.concatenate(further), np.concatenate(owner)
+        order = np.lexsort((g, h))
         new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        least = np.minimum.reduceat(o[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         goes = np.zeros(len(order), bool)
-        goes[order] = owner[order] > least
-        del h, g, new, least, order
-        out = [every["at"][a:b][goes[a:b]].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-        return pd.DataFrame({"block": rows["block"], "body": out})
+        goes[order] = o[order] > least
+        del h, g, o, new, least, order
+        out = []
+        for mask, a, b in zip(masks, [0, *ends], ends, strict=False):
+            all_ = np.zeros(len(mask), bool)
+            all_[mask] = goes[a:b]
+            out.append(np.packbits(all_).tobytes())
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "body": out})
 
     sent = blocks.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(candidates, "bucket int, block long, body binary")
-    repeats = B.settled(sent.groupBy("bucket").applyInPandas(verify, "block long, body binary").filter("octet_length(body) > 0"), "repeats")
+    repeats = B.settled(sent.groupBy("bucket").applyInPandas(verify, "block long, bucket int, body binary"), "repeats")
 
     def remove(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        texts = B.unpacked(row)[2]
-        p = Parsed(texts, size)
-        step = np.zeros(len(p.words) + 1, np.int64)
-        for body in answers.column("body").to_pylist():
-            at = np.frombuffer(body, "<u4").astype(np.int64)
-            step += np.bincount(at, minlength=len(step)) - np.bincount(at + size, minlength=len(step))
-        gone = np.cumsum(step[:-1]) > 0
+        ids, _, texts = B.unpacked(row)
+        p = Parsed(texts, size, ids)
+        found, starts, _ = B.by_bucket(p.kinds, n)
+        back = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
+        gone = np.zeros(len(p.kinds), bool)
+        for k, a, b in zip(found.tolist(), starts, starts[1:], strict=False):
+            if k in back:
+                gone[a:b] = np.unpackbits(np.frombuffer(back[k], np.uint8), count=int(b - a))
+        at = p.windows[gone[p.of] | (p.owner > p.least[p.of])] if len(p.windows) else p.windows
+        step = np.bincount(at, minlength=len(p.words) + 1) - np.bincount(at + size, minlength=len(p.words) + 1)
+        cut = np.cumsum(step[:-1]) > 0
+        removed = np.diff(np.concatenate([[0], np.cumsum(cut)])[np.append(p.first, len(cut))]).tolist()
+        first, sizes = p.first.tolist(), p.sizes.tolist()
+        del p, gone, at, step
         out = []
-        for i, words in enumerate(p.split):
-            own = gone[p.first[i] : p.first[i] + len(words)]
-            removed = int(own.sum())
-            kept = b" ".join(words if not removed else [w for w, g in zip(words, own.tolist(), strict=True) if not g])
-            out.append((len(words), removed, (kept if removed else texts[i]).decode(), hashlib.sha256(kept).hexdigest()))
-        del p, step, gone
+        for i, text in enumerate(texts):
+            words = text.split()
+            if removed[i]:
+                own = cut[first[i] : first[i] + sizes[i]].tolist()
+                words = [w for w, c in zip(words, own, strict=True) if not c]
+            kept = b" ".join(words)
+            out.append((sizes[i], removed[i], (kept if removed[i] else text).decode(), hashlib.sha256(kept).hexdigest()))
         trim()
         columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
         return pa.Table.from_arrays([B.carried(row), *columns], ["row", *RESULT.names])
