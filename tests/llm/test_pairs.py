@@ -68,7 +68,7 @@ def near_copies(seed, n, words=60, group=6):
 @pytest.mark.parametrize("rows", [AWKWARD, near_copies(1, 240), near_copies(2, 120, 9, 20), near_copies(3, 90, 300, 45)])
 def test_jaccard(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.near_duplicates(docs).collect()
+    got = jaccard.linked_documents(docs).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == jaccard_rows(rows)
 
 
@@ -78,7 +78,7 @@ def test_jaccard_chain_and_passage(spark):
     chain = [(100 + k, " ".join(base[:104 - 9 * k])) for k in range(6)]
     passage = " ".join(f"p{i}" for i in range(40))
     rows = chain + [(200 + k, passage + " " + " ".join(f"q{k}x{i}" for i in range(30))) for k in range(40)]
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_rows(rows)
 
 
@@ -86,7 +86,7 @@ def test_jaccard_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 4)
     monkeypatch.setattr(jaccard, "TASK_SETS", 5)
     rows = near_copies(5, 150, 40, 50)
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_rows(rows)
 
 
@@ -134,8 +134,8 @@ def test_jaccard_whole_join(spark, monkeypatch, rows):
 
 
 def test_jaccard_clashing_names_and_no_rows(awkward, no_documents):
-    assert jaccard.near_duplicates(awkward).count() == len(AWKWARD)
-    assert jaccard.near_duplicates(no_documents).count() == 0
+    assert jaccard.linked_documents(awkward).count() == len(AWKWARD)
+    assert jaccard.linked_documents(no_documents).count() == 0
 
 
 def test_prefix_tree_overlaps():
