@@ -128,7 +128,8 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
                 else:
                     if "U" in m[2]:
                         raise BadPattern("the flag U is not supported here")
-                    out.append(f"(?{m[2]}{m[3]}")
+                    # case is Unicode's, so the JVM's u goes wherever i goes
+                    out.append(f"(?{m[2].replace('i', 'iu')}{m[3]}")
                     if m[3] == ")":
                         open_ -= 1
                 i = m.end()

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.functions.text import MAX_LINE, MIN_LINE
+from gramforge.workers import ready
 
 #: Bytes that make a trigram noise if it has no others: fixed values.
 NOISE = b" (){}[];\t"
@@ -62,12 +64,56 @@ def with_trigrams(corpus: DataFrame, everything: bool = False) -> DataFrame:
             flat = np.concatenate(own) if own else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], ["file_id", "trigrams"])
 
+    ready(corpus.sparkSession)
     return corpus.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "file_id long, trigrams array<int>")
 
 
+#: Bytes of text whose lists are made together.
+SLICE_BYTES = 32 << 20
+
+
+def partial_lists(corpus: DataFrame, segment_bits: int, everything: bool = False) -> DataFrame:
+    """trigram, segment and file_ids (ascending): posting lists of some MB of texts each, so that what is shuffled later is
+    one row for a trigram and not one for each pair."""
+
+    def lists(ids: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(own)
+        owner = np.repeat(ids, [len(x) for x in own])
+        order = np.lexsort((owner, flat))
+        flat, owner = flat[order], owner[order]
+        segment = owner >> segment_bits
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (segment[1:] != segment[:-1])
+        starts = np.flatnonzero(new)
+        offsets = np.append(starts, len(flat)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(flat[starts]), pa.array(segment[starts]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(owner))], ["trigram", "segment", "file_ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own, held = [], [], 0
+        for batch in batches:
+            for i, content in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
+                raw = content.as_buffer() if content.is_valid else b""
+                ids.append(i)
+                own.append(of_content(raw, everything))
+                held += len(raw)
+                if held > SLICE_BYTES:
+                    yield lists(np.array(ids, np.int64), own)
+                    ids, own, held = [], [], 0
+        if ids:
+            yield lists(np.array(ids, np.int64), own)
+
+    ready(corpus.sparkSession)
+    return corpus.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "trigram int, segment long, file_ids array<long>")
+
+
 def delta_encoded(ids: Column) -> Column:
     return F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(ids, i - 1)))
 
 
 def delta_decoded(deltas: Column) -> Column:
-    return F.transform(deltas, lambda x, i: F.aggregate(F.slice(deltas, 1, i + 1), F.lit(0).cast("bigint"), lambda a, d: a + d))
+    """Running sums over Arrow batches: an expression would copy or sum each prefix again."""
+    return F.pandas_udf(_summed, "array<long>")(deltas)
+
+
+def _summed(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: None if x is None else np.cumsum(x))

@@ -48,6 +48,11 @@ def _folded(value: str) -> str:
     return value.translate(str.maketrans(text.UPPER, text.LOWER))
 
 
+def once(c: Column) -> Column:
+    """c, worked out once for a row: a filter on it is not moved in front of it with a copy of c."""
+    return F.explode(F.array(c))
+
+
 def texts_of(corpus: DataFrame) -> DataFrame:
     """The corpus without empty and binary contents; contents as strings."""
     return corpus.filter(F.col("content").isNotNull() & text.is_text(F.col("content"))).withColumn("content", F.col("content").cast("string"))
@@ -61,7 +66,8 @@ def scan(corpus: DataFrame, pattern: Pattern, files_only: bool = False) -> DataF
         texts = texts.filter(test)
     cols = [c for c in ("file_id", "path") if c in corpus.columns]
     if files_only:
-        found = texts.select(*cols, text.lines(F.col("content")).alias("_l")).select(*cols, F.size("_l").alias("total_lines"), F.size(F.filter("_l", pattern.matches)).cast("long").alias("match_count"))
+        lined = texts.select(*cols, once(text.lines(F.col("content"))).alias("_l"))
+        found = lined.select(*cols, F.size("_l").alias("total_lines"), once(F.size(F.filter("_l", pattern.matches)).cast("long")).alias("match_count"))
         extra = []
     else:
         hit = lambda m: pattern.matches(m["content"])
@@ -70,7 +76,8 @@ def scan(corpus: DataFrame, pattern: Pattern, files_only: bool = False) -> DataF
             start, length = pattern.span(m["content"])
             return F.struct(m["line"].alias("line"), m["content"].alias("content"), start.cast("int").alias("match_start"), length.cast("int").alias("match_len"))
 
-        found = texts.select(*cols, text.numbered(F.col("content")).alias("_l")).select(*cols, F.size("_l").alias("total_lines"), F.filter("_l", hit).alias("_m"))
+        lined = texts.select(*cols, once(text.numbered(F.col("content"))).alias("_l"))
+        found = lined.select(*cols, F.size("_l").alias("total_lines"), once(F.filter("_l", hit)).alias("_m"))
         found = found.select(*cols, "total_lines", F.size("_m").cast("long").alias("match_count"), F.transform("_m", record).alias("matches"))
         extra = ["matches"]
     density = F.col("match_count").cast("double") / F.col("total_lines")
@@ -79,6 +86,9 @@ def scan(corpus: DataFrame, pattern: Pattern, files_only: bool = False) -> DataF
 
 def ranked(results: DataFrame, limit: int = 0) -> DataFrame:
     """The densest first, equal ones by path and id; limit 0: all."""
-    order = [F.desc("density"), *(F.asc(c) for c in ("path", "file_id") if c in results.columns)]
-    out = results.orderBy(*order)
-    return out.limit(limit) if limit > 0 else out
+    keys = [c for c in ("path", "file_id") if c in results.columns]
+    order = [F.desc("density"), *(F.asc(c) for c in keys)]
+    if limit > 0:
+        return results.orderBy(*order).limit(limit)
+    # a sort looks at its input twice: once dealt out, results are looked at again, and not the corpus
+    return results.repartition(*keys).orderBy(*order) if keys else results.orderBy(*order)

@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,7 @@ SCANS = {
     "scan_regex_border": Pattern(r"\ba", regex=True),
     "scan_regex_class": Pattern(r"[[:alpha:]]+\s[[:upper:]]\S*[.,]$", regex=True),
     "scan_regex_ci": Pattern("ÉA.X", regex=True, ignore_case=True),
+    "scan_regex_inline": Pattern(r"(?i)éa.x|(?i:THE L)icen|\bÇ(?i:ON)", regex=True),
     "scan_empty_pattern": Pattern(""),
     "scan_missing": Pattern("zzzqqq"),
 }
@@ -143,7 +145,6 @@ register("ext_filter", lambda s, d: Search(corpus(s, d)).literal("en").ext(".en"
 RULES = {  # rules, and the condition under which a path is ignored
     "ignore_dir_name": (("src1/",), "starts_with(path, 'src1/')"),
     "ignore_dir_glob": (("src1*/",), "regexp_matches(path, '^src1[^/]*/')"),
-    "ignore_dir_path": (("src2/x/", "src3/y/"), "starts_with(path, 'src2/x/') OR starts_with(path, 'src3/y/')"),
     "ignore_name_glob": (("*.fr", "1?.de"), "regexp_matches(path, '\\.fr$|/1.\\.de$')"),
     "ignore_path_glob": (("src2/1*.en", "src[5-7]/*[02468].*"), "regexp_matches(path, '^src2/1[^/]*\\.en$|^src[5-7]/[^/]*[02468]\\.[^/]*$')"),
     "ignore_quirks": (("!src1", "/src2/*", "src3"), "starts_with(path, 'src3/')"),
@@ -151,13 +152,28 @@ RULES = {  # rules, and the condition under which a path is ignored
 for _name, (_rules, _sql) in RULES.items():
     register(_name, lambda s, d, r=_rules: corpus(s, d).filter(kept(F.col("path"), Rules.of(r))).select("file_id", "path"), f"WITH c AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path FROM documents) SELECT * FROM c WHERE NOT ({_sql})")
 register("ignore_after_index", lambda s, d: corpus(s, d).filter(kept(F.col("path"), Rules.of(("src1/", "*.fr")), files_only=True)).select("file_id", "path"), "WITH c AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path FROM documents) SELECT * FROM c WHERE NOT ends_with(path, '.fr')")
+
+
+def _deep(s: SparkSession, d: str) -> DataFrame:
+    """The corpus with a language's documents in folders of their own, some below folders that are always ignored."""
+    above = F.when(F.col("file_id") % 11 == 0, ".git/").when(F.col("file_id") % 11 == 1, "vendor/.gramforge/").otherwise("")
+    files = corpus(s, d)
+    lang = F.substring_index("path", ".", -1)
+    return files.withColumn("path", F.concat(above, F.substring_index("path", "/", 1), F.lit("/"), lang, F.lit("/"), F.substring_index("path", "/", -1)))
+
+
+_DEEP = "SELECT doc_id AS file_id, CASE doc_id % 11 WHEN 0 THEN '.git/' WHEN 1 THEN 'vendor/.gramforge/' ELSE '' END || source || '/' || lang || '/' || doc_id || '.' || lang AS path, text AS content FROM documents"
+register("ignore_dir_path", lambda s, d: _deep(s, d).filter(kept(F.col("path"), Rules.of(("src2/en/", "src[3-5]/d?/")))).select("file_id", "path"), f"WITH c AS ({_DEEP}) SELECT file_id, path FROM c WHERE NOT regexp_matches(path, '^src2/en/|^src[3-5]/d[^/]/')")
+register("ignore_always", lambda s, d: I.TrigramIndex.build(_deep(s, d), scratch(s)).live().select("file_id", "path"), f"WITH c AS ({_DEEP}) SELECT file_id, path FROM c WHERE doc_id_of(path)".replace("doc_id_of(path)", "NOT (starts_with(path, '.git/') OR contains(path, '/.gramforge/'))"))
+
 register(
     "path_parts",
     lambda s, d: _pages(s, d).select("file_id", text.basename(F.col("path")).alias("name"), text.extension(F.col("path")).alias("extension"), text.relative(F.col("path"), "https:").alias("rel")),
     "SELECT page_id AS file_id, string_split(url, '/')[-1] AS name, regexp_extract(url, '[^/](\\.[^./]*)$', 1) AS extension, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) WHEN starts_with(url, 'https:') THEN substr(url, 7) ELSE url END AS rel FROM pages",
 )
 
-# -- edge cases as literal rows: id, content in hex, text of the lines that are expected
+# -- edge cases as literal rows. The SQL engine can't hold the NUL of row 7, a long line, so its SQL has that row's results
+# as constants.
 
 _EDGES = {1: "", 2: "a\n", 3: "a\n\n", 4: "ab\r\ncd", 5: "ab\r\r\n", 6: "x" * 10 + "\0y", 7: "b" * 9000 + "\0b\nb", 8: "});", 9: "a" * 512, 10: "a" * 513, 11: "a" * 512 + "\r", 12: "aa aa\nb\naa", 13: "éa\n ça"}
 
@@ -171,15 +187,11 @@ _EDGE_ROWS = "(VALUES " + ", ".join(f"({k}, from_hex('{v.encode().hex()}'))" for
 _EDGE_FILES = f"SELECT file_id::BIGINT AS file_id, 'edge/' || file_id AS path, decode(b) AS content FROM {_EDGE_ROWS} WHERE file_id NOT IN (1, 6)"
 
 register("binary_sniff", lambda s, d: texts_of(_edges(s, d)).select("file_id", F.octet_length("content").cast("long").alias("n_bytes")), f"SELECT file_id::BIGINT AS file_id, octet_length(b)::BIGINT AS n_bytes FROM {_EDGE_ROWS} WHERE octet_length(b) > 0 AND file_id <> 6")
-register("line_split_edge", lambda s, d: texts_of(_edges(s, d)).filter("file_id != 7").select("file_id", F.explode(text.numbered(F.col("content"))).alias("x")).select("file_id", "x.line", "x.content"), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, line, content FROM l")
+register("line_split_edge", lambda s, d: texts_of(_edges(s, d)).select("file_id", F.explode(text.numbered(F.col("content"))).alias("x")).select("file_id", "x.line", F.lower(F.hex("x.content")).alias("content")), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, line, lower(hex(encode(content))) AS content FROM l UNION ALL VALUES (7::BIGINT, 1::INT, repeat('62', 9000) || '0062'), (7::BIGINT, 2::INT, '62')")
 _CR = Pattern("(^|[^b])b$|d$|a$", regex=True)
-register("crlf_strip", lambda s, d: scan(_edges(s, d).filter("file_id != 7"), _CR).select("file_id", "match_count", "total_lines"), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, match_count, total_lines FROM ({_counts(_CR)})")
+register("crlf_strip", lambda s, d: scan(_edges(s, d), _CR).select("file_id", "match_count", "total_lines"), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')} SELECT file_id, match_count, total_lines FROM ({_counts(_CR)}) UNION ALL VALUES (7::BIGINT, 2::BIGINT, 2::INT)")
 register("edge_trigrams", lambda s, d: T.with_trigrams(texts_of(_edges(s, d))).select("file_id", F.array_join(F.col("trigrams").cast("array<string>"), ",").alias("trigrams")), f"WITH {_lines(_EDGE_FILES + ' AND file_id <> 7')}, t AS {_PAIRS.format(lines='l')} SELECT c.file_id, coalesce(string_agg(trigram::VARCHAR, ',' ORDER BY trigram), '') AS trigrams FROM c LEFT JOIN t USING (file_id) GROUP BY c.file_id UNION ALL VALUES (7::BIGINT, '')")
 
-# row 7, the long line with a NUL, which the two queries above leave out: the SQL has its expected rows as constants, bytes in hex
-register("line_split_nul", lambda s, d: texts_of(_edges(s, d).filter("file_id = 7")).select("file_id", F.explode(text.numbered(F.col("content"))).alias("x")).select("file_id", "x.line", F.hex("x.content").alias("content")), "SELECT 7::BIGINT AS file_id, 1::INT AS line, repeat('62', 9000) || '0062' AS content UNION ALL VALUES (7::BIGINT, 2::INT, '62')")
-register("crlf_strip_nul", lambda s, d: scan(_edges(s, d).filter("file_id = 7"), _CR).select("file_id", "match_count", "total_lines"), "SELECT 7::BIGINT AS file_id, 2::BIGINT AS match_count, 2::INT AS total_lines")
-
 # -- lines and trigrams
 
 register(
@@ -198,7 +210,7 @@ register("trigram_df", lambda s, d: I.frequencies(I.pairs(corpus(s, d))), f"{_T}
 
 
 def _whole_lists(s: SparkSession, d: str) -> DataFrame:
-    return I.posting_lists(I.pairs(corpus(s, d)))
+    return I.posting_lists(corpus(s, d))
 
 
 register("postings", lambda s, d: _whole_lists(s, d).select("trigram", "segment", F.array_join(F.col("file_ids").cast("array<string>"), ",").alias("file_ids")), f"{_T} SELECT trigram, file_id >> 16 AS segment, string_agg(file_id::VARCHAR, ',' ORDER BY file_id) AS file_ids FROM t GROUP BY ALL")
@@ -226,7 +238,7 @@ def _planned(s: SparkSession, d: str, pattern: str) -> DataFrame:
     every = texts_of(corpus(s, d)).select("file_id")
     if plan.nothing:
         return every.limit(0)
-    return I.intersect(I.posting_lists(own), plan.required) if plan.required else every
+    return I.intersect(I.lists_of(own), plan.required) if plan.required else every
 
 
 for _name, _p in {"candidates": "of the", "candidates_bytes": "çon", "candidates_rarest": "tion, the", "candidates_one": " | ", "candidates_missing": "zzzqqq", "candidates_noisy": "} ){ (;[]"}.items():
@@ -234,6 +246,23 @@ for _name, _p in {"candidates": "of the", "candidates_bytes": "çon", "candidate
 register("candidates_short", lambda s, d: _planned(s, d, "é"), "SELECT doc_id AS file_id FROM documents WHERE strlen(text) > 0")
 
 
+# texts with blanks and brackets where commas were: trigrams of such characters alone
+_NOISY_FILES = _FILES.replace("text AS content", "replace(text, ', ', ' ) { [ ( ; ') AS content")
+
+
+def _noisy(s: SparkSession, d: str) -> DataFrame:
+    return corpus(s, d).withColumn("content", F.replace("content", F.lit(", "), F.lit(" ) { [ ( ; ")))
+
+
+def _noisy_index(s: SparkSession, d: str) -> I.TrigramIndex:
+    return built(s, d, "compat", "noisy", _noisy)
+
+
+# all trigrams are noise, so all are asked for; some are, and only the others are; few are asked for, noise or not
+for _name, _p in {"candidates_noise_alone": ") { [ ( ;", "candidates_noise_left_out": "en ) { [ ( ; de", "candidates_noise_few": "{ [ ("}.items():
+    register(_name, lambda s, d, p=_p: _noisy_index(s, d).candidates(p).select("file_id"), f"WITH {_candidates(_p).replace(_FILES, _NOISY_FILES)} SELECT file_id FROM cand")
+
+
 def _rarest(s: SparkSession, d: str, pattern: str) -> DataFrame:
     own = I.frequencies(I.pairs(corpus(s, d)).filter(F.col("trigram").isin(_asked(pattern))))
     return own.orderBy("df", "trigram").limit(T.MAX_TRIGRAMS)
@@ -247,19 +276,21 @@ _BUILT: dict[tuple, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
+    """A new folder that the driver and the executors share; a local session may make one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="gramforge-")
         atexit.register(shutil.rmtree, at, True)
     return f"{at.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
-def built(s: SparkSession, d: str, mode: str = "compat") -> I.TrigramIndex:
-    """The index of a folder's corpus, built once in a session."""
-    key = (s.sparkContext.applicationId, d, mode)
+def built(s: SparkSession, d: str, mode: str = "compat", name: str = "documents", files: Callable[[SparkSession, str], DataFrame] = corpus) -> I.TrigramIndex:
+    """The index of a folder's corpus (or of other files of a name), built once in a session."""
+    key = (s.sparkContext.applicationId, d, mode, name)
     if key not in _BUILT:
-        _BUILT[key] = I.TrigramIndex.build(corpus(s, d), scratch(s), mode).path
+        _BUILT[key] = I.TrigramIndex.build(files(s, d), scratch(s), mode).path
     return I.TrigramIndex(s, _BUILT[key])
 
 
@@ -274,6 +305,33 @@ for _name, _p in (("indexed_lossless", Pattern("of the")), ("indexed_lossless_ci
     register(_name, lambda s, d, p=_p: _indexed(s, d, p, "lossless"), f"WITH {_lines()} {_counts(_p)}")
 
 
+def _some(s: SparkSession, d: str) -> DataFrame:
+    return corpus(s, d).filter(text.extension(F.col("path")).isin(".en", ".de"))
+
+
+def _other_types(s: SparkSession, d: str) -> DataFrame:
+    """An index of some types, a search for others: what both have is found. Of the rules those on files are asked again
+    after the index, those on directories are not."""
+    index = built(s, d, "compat", "en and de", _some)
+    return Search(corpus(s, d), index).literal("tion").ext(".en", ".fr").ignore("src1/", "1*.en").files_only().to_df()
+
+
+register("index_other_types", _other_types, f"WITH {_candidates('tion').replace(_FILES, _FILES + " AND lang IN ('en', 'de')")}, k AS (SELECT l.* FROM l SEMI JOIN cand USING (file_id)) SELECT * FROM ({_counts(Pattern('tion'), 'k')}) WHERE ends_with(path, '.en') AND NOT regexp_matches(path, '/1[^/]*\\.en$')")
+
+
+_ASKED = ("the", "(a)\\1", "(?=a)", "(", "a{1001}", "(?i)THE$", "x**", "[b-a]")
+_VALID = ("the", "(?i)THE$")
+
+
+def _patterns(s: SparkSession, d: str) -> DataFrame:
+    """How many files each pattern finds; one that isn't valid finds none."""
+    found = [Search(corpus(s, d)).regex(p).files_only().to_df().agg(F.lit(p).alias("pattern"), F.count("*").alias("files")) for p in _ASKED]
+    return reduce(DataFrame.unionByName, found)
+
+
+register("regex_validity", _patterns, f"WITH {_lines()} " + " UNION ALL ".join(f"SELECT {_quoted(p)} AS pattern, " + (f"count(DISTINCT file_id) FILTER ({_test(Pattern(p, regex=True))}) AS files FROM l" if p in _VALID else "0::BIGINT AS files") for p in _ASKED))
+
+
 def _missed(s: SparkSession, d: str) -> DataFrame:
     p = Pattern("tion")
     return scan(corpus(s, d), p, files_only=True).join(_indexed(s, d, p).select("file_id"), "file_id", "left_anti").select("file_id", "match_count")
@@ -318,12 +376,7 @@ register(
     f"WITH {_lines()}, m AS ({_MATCHED.format(agg='string_agg(printf(' + chr(39) + '  %4d  ' + chr(39) + ', line) || content, chr(10) ORDER BY line) AS x', test=_test(Pattern('license')))}) SELECT file_id, path || chr(10) || x AS text FROM m",
 )
 register("human_files", lambda s, d: sink.text_rows(scan(corpus(s, d), Pattern("of the"), files_only=True)).select("file_id", "text"), f"WITH {_lines()} SELECT file_id, path || '  ' || match_count || CASE match_count WHEN 1 THEN ' match ' ELSE ' matches ' END AS text FROM ({_counts(Pattern('of the'))})")
-register(
-    "json_escape_compat",
-    lambda s, d: texts_of(corpus(s, d)).select("file_id", F.explode(text.lines(F.col("content"))).alias("x")).filter(F.octet_length("x") < 40).select("file_id", "x", text.json_string(F.col("x"), ascii_bytes=True).alias("escaped")),
-    f"WITH {_lines()}, h AS (SELECT file_id, content AS x, list_transform(range(0, strlen(content)), lambda k: substr(hex(encode(content)), 2 * k + 1, 2)) AS bytes FROM l WHERE strlen(content) < 40) SELECT file_id, x, array_to_string(list_transform(bytes, lambda b: CASE WHEN b = '22' THEN chr(92) || '\"' WHEN b = '5C' THEN chr(92) || chr(92) WHEN b < '20' OR b >= '80' THEN chr(92) || 'u00' || lower(b) ELSE chr(('0x' || b)::INT) END), '') AS escaped FROM h",
-)
-# the same of all lines, however long
+# each byte from 0x80 on is an escape of its own
 register(
     "json_escape_lines",
     lambda s, d: texts_of(corpus(s, d)).select("file_id", F.posexplode(text.lines(F.col("content"))).alias("p", "x")).select("file_id", (F.col("p") + 1).alias("line"), text.json_string(F.col("x"), ascii_bytes=True).alias("escaped")),

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramforge.sources.tree import TreeSource
+from gramforge.functions import text
+from gramforge.functions.ignore import Rules, kept
+from gramforge.sources.tree import TreeSource, contents, load_rules
+from gramforge.workers import ready
 
-#: Metadata of the path of a corpus whose file ids are no lasting ones.
-BY_PATH = "gramforge.by_path"
+#: Metadata of the path of a corpus from a tree: its files are known by path, and read by path one at a time.
+TREE = "gramforge.tree"
 
 
 def from_table(df: DataFrame, file_id: str, content: str, path: Column | str) -> DataFrame:
@@ -20,25 +25,31 @@ def from_table(df: DataFrame, file_id: str, content: str, path: Column | str) ->
 def from_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), rules: tuple[str, ...] = (), use_gitignore: bool = True) -> DataFrame:
     """The regular files below a directory that every executor sees, with paths relative to it, numbered by path from 0.
     The numbers change with the tree, so searches know its files by path."""
-    spark.dataSource.register(TreeSource)
-    reader = spark.read.format("tree").option("root", root).option("extensions", "\n".join(extensions)).option("rules", "\n".join(rules)).option("gitignore", str(use_gitignore).lower())
-    return numbered(reader.load()).withMetadata("path", {BY_PATH: True})
+    ready(spark).dataSource.register(TreeSource)
+    every = [*rules, *(load_rules(root) if use_gitignore else [])]
+    reader = spark.read.format("tree").option("root", root).option("extensions", "\n".join(extensions)).option("rules", "\n".join(every)).option("gitignore", "false")
+    return reader.load().withMetadata("path", {TREE: json.dumps({"root": root, "extensions": list(extensions), "rules": every})})
 
 
 def known_by(corpus: DataFrame) -> str:
     """The column by which an index and a corpus mean the same file: path in trees, file_id in tables."""
-    return "path" if corpus.schema["path"].metadata.get(BY_PATH) else "file_id"
+    return "path" if TREE in corpus.schema["path"].metadata else "file_id"
+
 
+def of_paths(corpus: DataFrame, files: DataFrame) -> DataFrame:
+    """Of a corpus from a tree those files (file_id, path) that it has, without walking it: they alone are read."""
+    own = json.loads(corpus.schema["path"].metadata[TREE])
+    at = files.filter(kept(F.col("path"), Rules.of(own["rules"])))
+    if own["extensions"]:
+        at = at.filter(text.extension(F.col("path")).isin(*own["extensions"]))
+    return contents(at, own["root"])
 
-def numbered(files: DataFrame) -> DataFrame:
-    """file_id by path without bringing contents into one task: only paths are sorted, and those in partitions."""
-    paths = files.select("path").repartitionByRange("path").sortWithinPartitions("path")
-    paths = paths.select("path", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
-    if files.sparkSession.sparkContext.getCheckpointDir() is not None:
-        paths = paths.checkpoint()  # the two uses below then agree whatever happens to executors
+
+def number_paths(paths: DataFrame) -> DataFrame:
+    """path and place (by path, from 0), sorted in partitions; only the partitions' sizes are summed up in one task."""
+    paths = paths.select("path").repartitionByRange("path").sortWithinPartitions("path")
+    paths = paths.select("path", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")).checkpoint()
     place = paths.select("path", "_p", (F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33)).alias("_k"))
     sizes = paths.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    ids = place.join(before, "_p").select("path", (F.col("_before") + F.col("_k")).alias("file_id"))
-    return files.join(ids, "path").select("file_id", "path", "content")
-
+    return place.join(before, "_p").select("path", (F.col("_before") + F.col("_k")).alias("place"))

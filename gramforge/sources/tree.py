@@ -1,7 +1,8 @@
 """A directory tree as a data source.
 
 Spark's own file sources leave out names that start with a dot or an underscore, and empty files; a tree of source code has
-both. The tree is walked on the driver, names only; contents are read by the tasks, from a file system that they share.
+both. The tree is walked on the driver, names only, which it sorts and numbers; contents are read by the tasks, from a file
+system that they share.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gramforge.functions.ignore import Rules, read_rules
+from gramforge.workers import ready
 
 #: Bytes and files of a task.
 TASK_BYTES, TASK_FILES = 32 << 20, 4096
@@ -56,6 +61,40 @@ def walk(root: str, extensions: list[str] | tuple[str, ...] = (), rules: list[st
                 yield path, info
 
 
+def content(root: str, path: str) -> bytes | None:
+    """What a file holds; None if it can't be read."""
+    try:
+        with open(os.path.join(root, path), "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """file_id, path and content of the files (file_id, path) that can be read; tasks read them, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for number, path in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path")), strict=True):
+                if (data := content(root, path)) is None:
+                    continue
+                held.append((number, path, data))
+                size += len(data)
+                if size > TASK_BYTES:
+                    yield _batch(held)
+                    held, size = [], 0
+            if held:
+                yield _batch(held)
+
+    ready(files.sparkSession)
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "path").mapInArrow(run, "file_id long, path string, content binary")
+
+
+def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["file_id", "path", "content"])
+
+
 def _python(regex: str) -> str:
     """The classes that rules compile to, in Python's dialect."""
     for name, body in {"Alpha": "A-Za-z", "Digit": "0-9", "Alnum": "0-9A-Za-z", "Upper": "A-Z", "Lower": "a-z", "Space": "\\s", "XDigit": "0-9A-Fa-f", "Punct": "!-/:-@\\[-`{-~", "Blank": " \\t"}.items():
@@ -64,8 +103,8 @@ def _python(regex: str) -> str:
 
 
 class FilesPartition(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = files
 
 
 class TreeReader(DataSourceReader):
@@ -78,21 +117,19 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
-        for path, info in walk(self.root, self.extensions, self.rules):
-            if held and (size + info.st_size > TASK_BYTES or len(held) == TASK_FILES):
+        found = sorted((path, info.st_size) for path, info in walk(self.root, self.extensions, self.rules))
+        for number, (path, own) in enumerate(found):
+            if held and (size + own > TASK_BYTES or len(held) == TASK_FILES):
                 out.append(FilesPartition(held))
                 held, size = [], 0
-            held.append(path)
-            size += info.st_size
+            held.append((number, path))
+            size += own
         return [*out, FilesPartition(held)]
 
     def read(self, partition: FilesPartition) -> Iterator[tuple]:
-        for path in partition.paths:
-            try:
-                with open(os.path.join(self.root, path), "rb") as f:
-                    yield path, f.read()
-            except OSError:
-                continue
+        for number, path in partition.files:
+            if (data := content(self.root, path)) is not None:
+                yield number, path, data
 
 
 class TreeSource(DataSource):
@@ -101,7 +138,7 @@ class TreeSource(DataSource):
         return "tree"
 
     def schema(self) -> str:
-        return "path string, content binary"
+        return "file_id long, path string, content binary"
 
     def reader(self, schema) -> DataSourceReader:
         return TreeReader(dict(self.options))

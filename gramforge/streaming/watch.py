@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from gramforge.functions.text import extension
 from gramforge.operators.index import TrigramIndex
-from gramforge.sources.tree import TreeReader, walk
+from gramforge.sources.corpus import number_paths
+from gramforge.sources.tree import TreeReader, contents, walk
+from gramforge.workers import ready
 
-CHANGE_SCHEMA = "path string, op string, content binary"
+CHANGE_SCHEMA = "path string, op string"
 #: Layers from which an index is compacted.
 MOST_LAYERS = 16
 
 
 class TreeChanges(SimpleDataSourceStreamReader):
-    """Changes of a tree between snapshots of path, time and size: modify (new files included) and delete. The offset is
-    the snapshot, so a restart goes on where it was; it suits trees of some ten thousand files."""
+    """Changes of a tree between snapshots of path, time and size: modify (new files included) and delete; names only, what
+    files hold is read by tasks. The offset is the snapshot, so a restart goes on where it was; it suits trees of some ten
+    thousand files."""
 
     def __init__(self, options: dict[str, str]):
         own = TreeReader(options)
@@ -34,21 +36,15 @@ class TreeChanges(SimpleDataSourceStreamReader):
         return {"files": "{}"}
 
     def read(self, start: dict):
-        now = self._snapshot()
-        return iter(self._between(json.loads(start["files"]), now)), {"files": json.dumps(now)}
+        old, now = json.loads(start["files"]), self._snapshot()
+        return iter(between(old, now)), (start if old == now else {"files": json.dumps(now)})
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._between(json.loads(start["files"]), json.loads(end["files"])))
+        return iter(between(json.loads(start["files"]), json.loads(end["files"])))
 
-    def _between(self, old: dict[str, str], new: dict[str, str]) -> list[tuple]:
-        out = [(p, "delete", None) for p in sorted(old.keys() - new.keys())]
-        for p in sorted(p for p, v in new.items() if old.get(p) != v):
-            try:
-                with open(os.path.join(self.root, p), "rb") as f:
-                    out.append((p, "modify", f.read()))
-            except OSError:
-                out.append((p, "delete", None))
-        return out
+
+def between(old: dict[str, str], new: dict[str, str]) -> list[tuple]:
+    return [(p, "delete") for p in sorted(old.keys() - new.keys())] + [(p, "modify") for p in sorted(p for p, v in new.items() if old.get(p) != v)]
 
 
 class TreeChangesSource(DataSource):
@@ -69,34 +65,49 @@ def events(changes: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
     return out.filter(extension(F.col("path")).isin(*extensions)) if extensions else out
 
 
-def apply_changes(index: TrigramIndex, changes: DataFrame) -> None:
-    """One micro-batch: the last change of each path counts (by `seq`, where there is one; else a deletion does). Known
-    paths keep their ids, new ones get the next free numbers."""
-    last = changes.groupBy("path").agg(F.max_by(F.struct("op", "content"), F.col("seq") if "seq" in changes.columns else F.when(F.col("op") == "delete", 1).otherwise(0)).alias("_c")).select("path", "_c.op", "_c.content")
+def apply_changes(index: TrigramIndex, changes: DataFrame, root: str | None = None, batch: tuple[str, int] | None = None) -> None:
+    """One micro-batch (path, op, and content unless `root` says where files are read): the last change of each path counts
+    (by `seq`, where there is one; else a deletion does). Known paths keep their ids, new ones get the next free numbers. A
+    file that can't be read any more is gone. A batch that the index has already isn't applied again."""
+    state = index.manifest()
+    if batch is not None and state.batches.get(batch[0], -1) >= batch[1]:
+        return
+    held = ["op"] if root is not None else ["op", "content"]
+    last = changes.groupBy("path").agg(F.max_by(F.struct(*held), F.col("seq") if "seq" in changes.columns else F.when(F.col("op") == "delete", 1).otherwise(0)).alias("_c")).select("path", "_c.*")
     last = last.persist()
-    known = index.table("files").filter("path is not null").groupBy("path").agg(F.max("file_id").alias("file_id"))
-    top = index.table("files").agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]
-    found = last.join(known, "path", "left")
-    fresh = found.filter("file_id is null and op != 'delete'").withColumn("file_id", F.lit(top) + F.row_number().over(Window.orderBy("path")))
-    changed = found.filter("file_id is not null and op != 'delete'").unionByName(fresh).select("file_id", "path", "content")
-    gone = found.filter("file_id is not null and op = 'delete'").select("file_id")
-    if not last.isEmpty():
-        layer = index.apply(changed, gone)
+    try:
+        if last.isEmpty():
+            return
+        files = index.table("files", state)
+        known = files.filter("path is not null").groupBy("path").agg(F.max("file_id").alias("file_id"))
+        top = files.agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]
+        names = last.select("path", "op").join(known, "path", "left")
+        fresh = number_paths(names.filter("file_id is null and op != 'delete'")).select("path", (F.col("place") + top + 1).alias("file_id"))
+        ids = known.join(last.select("path"), "path", "left_semi").unionByName(fresh)
+        changed = last.filter("op != 'delete'").join(ids, "path").select("file_id", "path", *held[1:])
+        gone = names.filter("file_id is not null and op = 'delete'").select("file_id")
+        if root is not None:
+            asked = changed
+            changed = contents(asked, root).persist()  # read once: what is missing here is gone everywhere
+            gone = gone.unionByName(asked.join(changed.select("file_id"), "file_id", "left_anti").select("file_id"))
+        layer = index.apply(changed, gone, batch)
         if layer >= MOST_LAYERS:
             index.compact()
-    last.unpersist()
+    finally:
+        last.unpersist()
 
 
-def keep_updated(changes: DataFrame, index: TrigramIndex, checkpoint: str, extensions: tuple[str, ...] = (), **trigger) -> StreamingQuery:
-    """A streaming query that applies a stream of changes (path, op, content) to an index."""
+def keep_updated(changes: DataFrame, index: TrigramIndex, checkpoint: str, extensions: tuple[str, ...] = (), root: str | None = None, **trigger) -> StreamingQuery:
+    """A streaming query that applies a stream of changes (path, op, content) to an index. Its checkpoint folder is the name
+    by which the index remembers its last batch, so that a batch that is run again after a failure counts once."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        apply_changes(index, df)
+    def batch(df: DataFrame, number: int) -> None:
+        apply_changes(index, df, root, (checkpoint, number))
 
     writer = events(changes, extensions).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def watch_tree(spark: SparkSession, root: str, index: TrigramIndex, checkpoint: str, **trigger) -> StreamingQuery:
-    spark.dataSource.register(TreeChangesSource)
-    return keep_updated(spark.readStream.format("tree_changes").option("root", root).load(), index, checkpoint, **trigger)
+    ready(spark).dataSource.register(TreeChangesSource)
+    return keep_updated(spark.readStream.format("tree_changes").option("root", root).load(), index, checkpoint, root=root, **trigger)

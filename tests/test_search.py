@@ -100,7 +100,7 @@ def test_index_version_and_existence(spark, indexes, tmp_path):
     index = I.TrigramIndex.build(df, str(tmp_path / "i"))
     with pytest.raises(FileExistsError):
         I.TrigramIndex.build(df, str(tmp_path / "i"), if_exists="error")
-    spark.range(1).select(F.lit(1).alias("version"), F.lit("compat").alias("mode"), F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(str(tmp_path / "i/meta"))
+    (tmp_path / "i/manifests/00000007.json").write_text(json.dumps({"version": 1, "mode": "compat", "layers": {}}))
     assert Search(df, index).literal("abc").to_df().collect() == []
     with pytest.raises(I.IndexMismatch):
         I.TrigramIndex(spark, str(tmp_path / "none")).candidates("abc")
@@ -238,6 +238,92 @@ def test_command_line_with_an_index_of_some_types(spark, tree):
 
 def test_long_line_with_nul(spark):
     """The fixture's row 7 is split and scanned by a registered query."""
-    got = catalogue.QUERIES["line_split_nul"](spark, SF).orderBy("line").collect()
+    got = catalogue.QUERIES["line_split_edge"](spark, SF).filter("file_id = 7").orderBy("line").collect()
     assert [bytes.fromhex(r.content) for r in got] == (b"b" * 9000 + b"\0b\nb").split(b"\n")
-    assert [tuple(r) for r in catalogue.QUERIES["crlf_strip_nul"](spark, SF).collect()] == [(7, 2, 2)]
+    assert [tuple(r) for r in catalogue.QUERIES["crlf_strip"](spark, SF).filter("file_id = 7").collect()] == [(7, 2, 2)]
+
+
+def test_a_batch_that_died_is_run_again(spark, tmp_path, monkeypatch):
+    """A batch dies after its lists are written, and is run again, twice: nothing is lost and nothing counts twice."""
+    index = I.TrigramIndex.build(rows(spark, ["alpha", "beta"]), str(tmp_path / "i"))
+    changes = spark.createDataFrame([(f"n{i}.txt", "create", b"omega words") for i in range(5)] + [("f0.txt", "delete", None)], "path string, op string, content binary")
+    with monkeypatch.context() as m:
+        m.setattr(I.TrigramIndex, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            watch.apply_changes(index, changes, batch=("s", 3))
+    paths = lambda p: sorted(r.path for r in index.candidates(p).collect())
+    assert paths("omega") == [] and paths("alpha") == ["f0.txt"]
+    for _ in range(2):
+        watch.apply_changes(index, changes, batch=("s", 3))
+        assert paths("omega") == [f"n{i}.txt" for i in range(5)] and paths("alpha") == [] and paths("beta") == ["f1.txt"]
+    assert len(index.manifest().layers) == 2
+    watch.apply_changes(index, changes.limit(0), batch=("s", 4))
+    assert len(index.manifest().layers) == 2
+
+
+def test_readers_see_one_state(spark, tmp_path):
+    index = I.TrigramIndex.build(rows(spark, ["alpha one", "beta two"]), str(tmp_path / "i"))
+    index.apply(spark.createDataFrame([(1, "f1.txt", "alpha two")], "file_id long, path string, content string"))
+    before = index.candidates("alpha")
+    state = index.manifest()
+    index.compact()
+    assert before.count() == 2 and index.candidates("alpha", state=state).count() == 2  # the state before is still there
+    I.TrigramIndex.build(rows(spark, ["gamma"]), index.path)
+    index.vacuum()
+    assert [r.path for r in index.candidates("gamma").collect()] == ["f0.txt"] and index.candidates("alpha").count() == 0
+    assert len(os.listdir(tmp_path / "i/layers")) == 2
+    index.vacuum(1)
+    assert len(os.listdir(tmp_path / "i/layers")) == 1
+
+
+def test_only_candidates_are_read(spark, tmp_path):
+    """Of a table stored by id, other row groups and pages are left out, and lines are split behind the join; of a tree,
+    only the candidates' files are opened."""
+    texts = [f"plain words {i}\n" * 50 + ("needleword\n" if i in (777, 15000) else "") for i in range(20000)]
+    df = spark.createDataFrame([(i, f"f{i}.txt", t) for i, t in enumerate(texts)], "file_id long, path string, content string")
+    df.coalesce(1).write.option("parquet.block.size", 1 << 20).option("parquet.page.row.count.limit", 100).parquet(str(tmp_path / "docs"))
+    corpus = spark.read.parquet(str(tmp_path / "docs"))
+    index = I.TrigramIndex.build(corpus, str(tmp_path / "i"))
+    out = Search(corpus, index).literal("needleword").files_only().found()
+    assert sorted(r.file_id for r in out.collect()) == [777, 15000]
+    plan = out._jdf.queryExecution().executedPlan().executedPlan().plan()  # the final one, of the stage that gives the result
+    shown = plan.toString()
+    assert "PushedFilters: [Or(" in shown and shown.index("Contains") < shown.index("BroadcastHashJoin") + 200 and shown.count("split(") <= 3
+    leaves = [plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size())]
+    read = [x.metrics().get("numOutputRows").get().value() for x in leaves if "parquet" in x.nodeName()]
+    assert len(read) == 1 and read[0] < 4000
+
+
+def test_only_candidate_files_are_opened(spark, tree, tmp_path, monkeypatch):
+    index = I.TrigramIndex.build(from_tree(spark, str(tree)), str(tmp_path / "i"))
+    plan = Search(from_tree(spark, str(tree)), index).literal("print").found()._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" not in plan and "Python" in plan or "MapInArrow" in plan
+    (tree / "a.py").unlink()  # a candidate that is gone is passed over
+    assert Search(from_tree(spark, str(tree)), index).literal("print").to_df().collect() == []
+
+
+def test_ranges_of_ids():
+    from gramforge.operators.search import ranges
+
+    assert ranges([1, 2, 3, 10, 11, 50], 3) == [(1, 3), (10, 11), (50, 50)]
+    assert ranges([1, 2, 3, 10, 11, 50], 2) == [(1, 11), (50, 50)]
+    assert ranges([5], 4) == [(5, 5)] and ranges([1, 2, 3], 64) == [(1, 3)]
+
+
+def test_bootstrap(spark, tree, monkeypatch):
+    def run(*args):
+        out = io.StringIO()
+        assert cli.main([*args, "-p", str(tree)], spark, out) == 0
+        return out.getvalue()
+
+    assert "7 files" in run("--init") and "trigrams" in run("--init", "--yes")
+    monkeypatch.setattr("sys.stdin", io.StringIO("n\n"))
+    assert run("--init").endswith("kept\n")
+    found = json.loads(run("import", "--json-bytes", "--files-only"))
+    assert "sub/\u00c3\u00a9.py" in [x["file"] for x in found]
+
+
+def test_inline_flags(spark):
+    df = rows(spark, ["ÉA", "é", "x"])
+    hits = lambda p: sorted(r.file_id for r in scan(df, Pattern(p, regex=True)).collect())
+    assert hits("(?i)éa") == [0] and hits("(?i:é)") == [0, 1] and hits("é") == [1] and hits("(?i)É(?-i)a") == [] and hits("(?i)É(?-i:A)") == [0]
