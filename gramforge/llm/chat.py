@@ -72,8 +72,27 @@ def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     return back.select(conv, F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Sequence numbers between the first events of two turns.
+STEP = 8
+
+
 def log_of(rows: DataFrame) -> DataFrame:
-    """A table of conversations as a log: each row is a message whose place among its conversation's rows (by turn, then
-    role and text, so that repeated rows stay) is its turn and its sequence number."""
+    """A table of conversations as the log that a chat server would have written: conv_id, seq, kind, turn, role, text. A
+    row's place among its conversation's rows (by turn, then role and text, so that repeated rows stay) is its turn. Texts
+    arrive in two parts. By place, turns are streamed (a message and deltas), edited (a draft that an edit replaces, a delta
+    after it) or regenerated: a draft and a turn that follows it, both of which the new attempt drops."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return rows.select("conv_id", "turn", "role", "text").withColumn("seq", place).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("turn"), "role", "text")
+    own = rows.select("conv_id", place.alias("_p"), "role", F.coalesce(F.col("text"), F.lit("")).alias("_x"), "turn", "text")
+    half = F.floor(F.length("_x") / 2).cast("int")
+    first, second = F.substr("_x", F.lit(1), half), F.substr("_x", half + 1)
+    none = F.lit(None).cast("string")
+
+    def event(step: int, kind: str, text: Column, role: Column = none, later: int = 0) -> Column:
+        return F.struct((F.col("_p") * STEP + step).alias("seq"), F.lit(kind).alias("kind"), (F.col("_p") + later).alias("turn"), role.alias("role"), text.alias("text"))
+
+    draft = F.concat(F.lit("draft of "), "_x")
+    streamed = F.array(event(0, "message", F.lit(""), F.col("role")), event(1, "delta", first), event(2, "delta", second))
+    edited = F.array(event(0, "message", draft, F.col("role")), event(1, "edit", first), event(2, "delta", second))
+    again = F.array(event(0, "message", draft, F.col("role")), event(1, "delta", F.lit(" goes")), event(2, "message", draft, later=1), event(3, "regenerate", first, F.col("role")), event(4, "delta", second))
+    kind = F.col("_p") % 3
+    return own.select("conv_id", F.explode(F.when(kind == 1, streamed).when(kind == 2, again).otherwise(edited)).alias("_e")).select("conv_id", "_e.*")
