@@ -1,10 +1,11 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-Every replica hashes its records, and its records in ranges of FANOUT ids, these ranges in ranges, up to a root, and
-publishes the digests by level. An audit compares the roots and then, level by level, only the children of nodes that
-differ, down to records that are altered, missing or extra. Ranges go by record id, so that a lost record changes the
-digests above it and no others. Offsets are those of the records in their files, each of which covers FILE_BITS of ids.
-Records that share an id are one leaf of that tree; below it each has its own digest, by which audit_records() finds it.
+Every replica hashes its records, and its records in ranges of offsets, these ranges in ranges, up to a root, and publishes
+the digests by level. An audit compares the roots and then, level by level, only the children of nodes that differ, down to
+records that are altered, missing or extra. Records lie in files by id, each of which covers FILE_BITS of ids, so ranges of
+offsets are ranges of ids; a manifest says which offset a record has, so that a lost record changes the digests above it
+and no others. Records that share an id are one leaf of that tree; below it each has its own digest, by which
+audit_records() finds it.
 
 Where records lie is another tree's matter: a Layout numbers the records of each file by their offsets and hashes offset,
 length and digest of each into leaves and ranges of FANOUT places, so that records in another order or place are found.
@@ -20,13 +21,16 @@ from gramforge.llm.common import written
 BITS = 4  # FANOUT = 16
 FILE_BITS = 12
 NO_ID = -(1 << 63)
+#: A WARC record has a date; pages have none.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", own: Column | None = None) -> DataFrame:
     """WARC records: _id (or another column), _n (bytes) and _d (SHA-256). Null bodies and URLs are empty; rows without an
     id share one."""
     body, url = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (body_col, url_col))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    name = F.coalesce(F.col(id_col if own is None else id_col + ".id").cast("string"), F.lit(""))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), name, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     record = F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
     return pages.select((F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) if own is None else own).alias("_id"), record.alias("_b")).select("_id", F.octet_length("_b").cast("long").alias("_n"), F.sha2("_b", 256).alias("_d"))
 
@@ -41,20 +45,25 @@ def leaves(own: DataFrame) -> DataFrame:
 
 
 class Replica:
-    """A replica's published digests: levels[0] has the records, each further level FANOUT times fewer nodes, the last one
-    the root (two where ids have both signs)."""
+    """A replica's published digests: levels[0] has the records, in the order of their offsets, each further level the
+    ranges of offsets that FANOUT nodes below cover, the last one the root (two where ids have both signs). A range's digest
+    is one of its nodes' offsets and digests. Offsets are those of the archive's manifest: the replica's own ones, or those
+    of another replica, which may have records that this one lost; records that the manifest doesn't know have none."""
 
-    def __init__(self, pages: DataFrame, **columns: str):
+    def __init__(self, pages: DataFrame, manifest: Replica | None = None, **columns: str):
         self.records = written(records(pages, **columns), "merkle-records")
-        leaf = written(leaves(self.records), "merkle-0")
+        leaf = written(leaves(self.records), "merkle-leaves")
+        place = offsets(leaf).select("node", "warc_offset") if manifest is None else manifest.levels[0].select("node", "warc_offset")
+        leaf = written(leaf.join(place, "node", "left"), "merkle-0")
         low, high = leaf.agg(F.min("node"), F.max("node")).first()
         self.levels = [leaf]
         height = 0
         while low is not None and height * BITS < 64 and (low >> height * BITS) != (high >> height * BITS):
             height += 1
         for k in range(1, height + 1):
-            child = F.array_sort(F.collect_list(F.struct("node", "digest")))  # FANOUT of them at most
-            above = self.levels[-1].groupBy(F.shiftright("node", BITS).alias("node")).agg(F.sha2(F.array_join(F.transform(child, lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["digest"])), "\n"), 256).alias("digest"))
+            child = F.array_sort(F.collect_list(F.struct("node", F.coalesce(F.col("warc_offset").cast("string"), F.lit("-")).alias("at"), "digest")))  # FANOUT of them at most
+            body = F.array_join(F.transform(child, lambda c: F.concat_ws(":", c["node"].cast("string"), c["at"], c["digest"])), "\n")
+            above = self.levels[-1].groupBy(F.shiftright("node", BITS).alias("node")).agg(F.min("warc_offset").alias("warc_offset"), F.sha2(body, 256).alias("digest"))
             self.levels.append(written(above, f"merkle-{k}"))
 
 
@@ -75,7 +84,7 @@ def descent(a: Replica, b: Replica) -> DataFrame:
 
 
 def places_of(a: Replica, differing: DataFrame) -> DataFrame:
-    return offsets(a.levels[0].join(differing.select(F.shiftright("node", FILE_BITS).alias("_f")).distinct(), F.shiftright("node", FILE_BITS) == F.col("_f"), "left_semi"))
+    return a.levels[0].join(differing.select("node"), "node", "left_semi").select("node", "n_bytes", "warc_offset")
 
 
 def reported(found: DataFrame) -> DataFrame:

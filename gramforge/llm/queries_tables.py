@@ -10,7 +10,8 @@ from gramforge.llm.common import table
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return merkle.audit_records(merkle.Replica(pages), merkle.Replica(merkle.damaged(pages)))
+    whole = merkle.Replica(pages)
+    return merkle.audit_records(whole, merkle.Replica(merkle.damaged(pages), manifest=whole))
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +27,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_merkle_fixity": op1_merkle_fixity, "op3_temperature_mixing": op3_temperature_mixing, "op9_chat_format": op9_chat_format}
 
-_RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen({0}) || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"
+_RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || {1} || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen({0}) || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"
 
 ORACLE_SQL = {
     "op1_merkle_fixity": f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, substr(md5(page_id::VARCHAR), 1, 2) AS k FROM pages),
-a AS (SELECT page_id, k, strlen({_RECORD.format('html')}) AS n, sha256({_RECORD.format('html')}) AS d, sha256({_RECORD.format("(html || ' ')")}) AS e FROM p),
+a AS (SELECT page_id, k, strlen({_RECORD.format('html', 'page_id')}) AS n, sha256({_RECORD.format('html', 'page_id')}) AS d, sha256({_RECORD.format("(html || ' ')", 'page_id')}) AS e, sha256({_RECORD.format('html', '(-page_id - 1)')}) AS x FROM p),
 o AS (SELECT *, page_id >> 12 AS f, coalesce(sum(n) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM a)
 SELECT page_id AS record_id, CASE k WHEN '00' THEN 'altered' ELSE 'missing' END AS status, f AS warc_file, place::BIGINT AS warc_offset, n::BIGINT AS n_bytes, d AS digest, CASE k WHEN '00' THEN e END AS replica_digest FROM o WHERE k IN ('00', '01')
-UNION ALL SELECT -page_id - 1, 'extra', -1 - f, NULL, NULL, NULL, d FROM o WHERE k = '02'""",
+UNION ALL SELECT -page_id - 1, 'extra', -1 - f, NULL, NULL, NULL, x FROM o WHERE k = '02'""",
     "op9_chat_format": """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))

@@ -12,9 +12,11 @@ from gramforge.llm import chat, merkle, mixing
 # -- Merkle audit
 
 
-def record(url, html):
+def record(url, html, name):
+    """A WARC record has a type, an id, a date and a length, and two empty lines behind its block."""
     body = (html or "").encode()
-    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: " + (url or "").encode() + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:page:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url or ''}", "Content-Type: text/html", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def pages(spark, rows):
@@ -26,7 +28,8 @@ def page(i, html="<p>é</p>"):
 
 
 def faults(a, b):
-    return {r.record_id: r for r in merkle.audit(merkle.Replica(a), merkle.Replica(b)).collect()}
+    whole = merkle.Replica(a)
+    return {r.record_id: r for r in merkle.audit(whole, merkle.Replica(b, manifest=whole)).collect()}
 
 
 def test_audit(spark):
@@ -36,9 +39,9 @@ def test_audit(spark):
     random.Random(1).shuffle(other)
     got = faults(pages(spark, rows), pages(spark, other))
     assert {i: r.status for i, r in got.items()} == {700: "missing", 14: "altered", 8400: "altered", 8: "extra", -3: "extra"}
-    in_file = [record(r[1], r[2]) for r in sorted(rows) if r[0] // 4096 == 8400 // 4096 and r[0] < 8400]
+    in_file = [record(r[1], r[2], r[0]) for r in sorted(rows) if r[0] // 4096 == 8400 // 4096 and r[0] < 8400]
     assert got[8400].warc_offset == sum(map(len, in_file)) and got[8400].warc_file == 2
-    own = record("https://h/14", "x" * 14)
+    own = record("https://h/14", "x" * 14, 14)
     assert got[14].digest == hashlib.sha256(own).hexdigest() and got[14].n_bytes == len(own)
     assert got[8].warc_offset is None and got[700].replica_digest is None
 
@@ -57,10 +60,13 @@ def test_equal_replicas_and_awkward_rows(spark):
 def test_descent_reads_differing_branches_only(spark):
     a = merkle.Replica(pages(spark, [page(i) for i in range(300)]))
     assert [level.count() for level in a.levels] == [300, 19, 2, 1]
-    b = merkle.Replica(pages(spark, [page(i, "z") if i == 77 else page(i) for i in range(300)]))
+    b = merkle.Replica(pages(spark, [page(i, "zzz") if i == 77 else page(i) for i in range(300) if i != 78]), manifest=a)
     for k in (3, 2, 1):
         x = a.levels[k].exceptAll(b.levels[k]).collect()
-        assert [r.node for r in x] == [77 >> 4 * k]
+        assert [(r.node, r.warc_offset) for r in x] == [(77 >> 4 * k, a.levels[0].filter(F.col("node") == (77 >> 4 * k) << 4 * k).first().warc_offset)]
+    # a replica by its own offsets: all records behind the longer one are elsewhere, and so are the ranges they are in
+    c = merkle.Replica(pages(spark, [page(i, "zzzzzzzzzz") if i == 77 else page(i) for i in range(300)]))
+    assert a.levels[1].select("node", "digest").exceptAll(c.levels[1].select("node", "digest")).count() == 19 - 4
 
 
 def test_records_that_share_an_id(spark):
@@ -70,19 +76,19 @@ def test_records_that_share_an_id(spark):
     other = [r for r in rows if r[2] not in ("body 3", "body 4")] + [own(5, "new"), own(None, "new"), own(None, "newer"), own(None, "newest")]
     other.remove(own(5, 7))  # one of two equal ones
     a = merkle.Replica(pages(spark, rows))
-    assert merkle.audit_records(a, merkle.Replica(pages(spark, rows[::-1]))).count() == 0
-    got = merkle.audit_records(a, merkle.Replica(pages(spark, other))).collect()
-    sha = lambda k: hashlib.sha256(record("https://h", f"body {k}")).hexdigest()
+    assert merkle.audit_records(a, merkle.Replica(pages(spark, rows[::-1]), manifest=a)).count() == 0
+    got = merkle.audit_records(a, merkle.Replica(pages(spark, other), manifest=a)).collect()
+    sha = lambda k, i: hashlib.sha256(record("https://h", f"body {k}", "" if i is None else i)).hexdigest()
     for i, status in ((5, ["altered", "missing", "missing"]), (None, ["altered", "altered", "extra"])):
         found = [r for r in got if r.record_id == i]
         assert sorted(r.status for r in found) == status
-        assert {r.digest for r in found} - {None} == {sha(3), sha(4)} | ({sha(7)} if i else set())
-        assert {r.replica_digest for r in found} - {None} == ({sha("new")} if i else {sha("new"), sha("newer"), sha("newest")})
+        assert {r.digest for r in found} - {None} == {sha(3, i), sha(4, i)} | ({sha(7, i)} if i else set())
+        assert {r.replica_digest for r in found} - {None} == ({sha("new", i)} if i else {sha("new", i), sha("newer", i), sha("newest", i)})
     assert len(got) == 6
-    order = sorted([(sha(r[2][5:]), len(record(r[1], r[2]))) for r in rows if r[0] == 5])
-    start = len(record("https://h/1", "<p>é</p>"))
+    order = sorted([(sha(r[2][5:], 5), len(record(r[1], r[2], 5))) for r in rows if r[0] == 5])
+    start = len(record("https://h/1", "<p>é</p>", 1))
     for r in got:
-        if r.record_id == 5 and r.digest in (sha(3), sha(4)):
+        if r.record_id == 5 and r.digest in (sha(3, 5), sha(4, 5)):
             k = [d for d, _ in order].index(r.digest)
             assert r.warc_offset == start + sum(n for _, n in order[:k]) and r.n_bytes == order[k][1]
 
@@ -93,7 +99,7 @@ def test_layout(spark):
         out, at = [], {}
         for k, (f, i) in enumerate(rows):
             out.append((f, at.get(f, 0) + (gap if k >= 300 else 0) + (1 if k in wrong else 0), i, f"u{i}", "x" * (i % 9)))
-            at[f] = at.get(f, 0) + len(record(f"u{i}", "x" * (i % 9)))
+            at[f] = at.get(f, 0) + len(record(f"u{i}", "x" * (i % 9), i))
         return merkle.Layout(spark.createDataFrame(out, "file string, at long, page_id long, url string, html string").repartition(3), "file", "at")
 
     rows = [("f0", i) for i in range(280)] + [("f1", i) for i in range(1000, 1040)]
