@@ -24,6 +24,8 @@ WIDTH, STRIDE, HALF, EMBED, FILTERS, HIDDEN = 8, 2, 64, 8, 64, 24
 PER_CLASS, MAX_BYTES = 4000, 10 << 20
 EPOCHS, BATCH, RATE, SEED, SHORT_SHARE = 9, 24, 0.004, 7, 0.2
 PAD = 256
+#: Positions at a text's end from which a filter would reach into the next text.
+BEYOND = (WIDTH - 1) // STRIDE
 
 
 @dataclass
@@ -43,10 +45,10 @@ def new_net(rng: np.random.Generator) -> Net:
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes one after the other, each filled up with PAD to whole half chunks (two at least), and the number of
-    half chunks of each."""
+    """All texts' bytes one after the other, each filled up with PAD to whole half chunks (two at least) so that a filter's
+    width of PAD ends it, and the number of half chunks of each."""
     step = HALF * STRIDE
-    halves = np.array([max(2, -(-len(t) // step)) for t in texts], np.int64)
+    halves = np.array([max(2, -(-(len(t) + WIDTH) // step)) for t in texts], np.int64)
     codes = np.full(int(halves.sum()) * step + WIDTH, PAD, np.int16)
     at = 0
     for t, n in zip(texts, halves.tolist(), strict=True):
@@ -62,14 +64,20 @@ def windows(net: Net, codes: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(x, (n, WIDTH * EMBED), (STRIDE * x.strides[0], x.itemsize))
 
 
-def pooled(net: Net, codes: np.ndarray) -> np.ndarray:
-    """The filters' largest answers in each half chunk, before the bias."""
+def pooled(net: Net, codes: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """The filters' largest answers in each half chunk, before the bias, positions that reach into the next text left out.
+    Bytes are embedded some half chunks at a time, so a
+    text of any length takes little more than its bytes."""
     n = (len(codes) - WIDTH) // STRIDE // HALF
-    x = windows(net, codes)
     out = np.empty((n, FILTERS), np.float32)
+    last = np.zeros(n, bool)
+    last[np.cumsum(halves) - 1] = True
     for a in range(0, n, 512):
         b = min(n, a + 512)
-        out[a:b] = (np.ascontiguousarray(x[a * HALF : b * HALF]) @ net.filters).reshape(b - a, HALF, FILTERS).max(1)
+        x = windows(net, codes[a * HALF * STRIDE : b * HALF * STRIDE + WIDTH])
+        answers = (np.ascontiguousarray(x) @ net.filters).reshape(b - a, HALF, FILTERS)
+        answers[last[a:b], HALF - BEYOND :] = -np.inf
+        out[a:b] = answers.max(1)
     return out
 
 
@@ -95,7 +103,7 @@ def predict(net: Net, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     codes, halves = padded(texts)
-    z, _, _, _, starts = evidence(net, pooled(net, codes), halves)
+    z, _, _, _, starts = evidence(net, pooled(net, codes, halves), halves)
     worst = np.maximum.reduceat(z, starts).astype(np.float64)
     return 1 / (1 + np.exp(np.clip(worst, -30, 30)))
 
@@ -103,7 +111,7 @@ def predict(net: Net, texts: list[bytes]) -> np.ndarray:
 def gradients(net: Net, texts: list[bytes], good: np.ndarray, weight: np.ndarray) -> tuple[float, Net]:
     """Loss and its gradient: only each document's worst chunk has one, and in it each filter's best position."""
     codes, halves = padded(texts)
-    best = pooled(net, codes)
+    best = pooled(net, codes, halves)
     z, h, a, first, starts = evidence(net, best, halves)
     ends = starts + halves - 1
     pick = np.array([s + int(np.argmax(z[s:e])) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
@@ -116,7 +124,9 @@ def gradients(net: Net, texts: list[bytes], good: np.ndarray, weight: np.ndarray
     rows = first[pick]
     at = rows[:, None] * HALF + np.arange(2 * HALF)  # the chunk's positions
     x = np.ascontiguousarray(windows(net, codes)[at.ravel()])
-    where = (x @ net.filters).reshape(len(pick), 2 * HALF, FILTERS).argmax(1)  # documents x FILTERS
+    answers = (x @ net.filters).reshape(len(pick), 2 * HALF, FILTERS)
+    answers[pick == ends - 1, 2 * HALF - BEYOND :] = -np.inf
+    where = answers.argmax(1)  # documents x FILTERS
     x = x.reshape(len(pick), 2 * HALF, -1)
     under = np.take_along_axis(x, where[:, :, None], 1)  # documents x FILTERS x inputs
     d_filters = np.einsum("df,dfi->if", da, under, optimize=True)
