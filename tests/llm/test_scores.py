@@ -56,6 +56,48 @@ def test_probabilities_sum_to_one():
         assert seen <= 1 + 1e-9 and seen > 0.7
 
 
+def test_log_likelihoods():
+    """word_scores() and features against P(text given class), worked out directly from counts of each class."""
+    rng = np.random.default_rng(2)
+    texts = [["".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(60)] for _ in (0, 1)]
+    count = [toxicity.Counter(t) for t in texts]
+    model = toxicity.KneserNey(*toxicity.fit_counts(*count), np.zeros(2 + len(toxicity.PASSAGES)))
+    order, pad = toxicity.ORDER, "\0" * (toxicity.ORDER - 1)
+    grams = [[f"{pad}{w} "[i : i + order] for w in t for i in range(len(w) + 1)] for t in texts]
+    levels = [sorted({g[k:] for g in set(grams[0]) | set(grams[1])}) for k in range(order)]  # types of each length
+
+    def discount(values):
+        values = list(values)
+        one, two = values.count(1), values.count(2)
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def shared(g):  # continuation counts of both classes together
+        if not g:
+            return 1 / (len({x for x in levels[-1]}) + 1)
+        longer = levels[order - len(g) - 1]
+        follow = lambda x: sum(y[1:] == x for y in longer)
+        here = [x for x in levels[order - len(g)] if x[:-1] == g[:-1]]
+        if not here:
+            return shared(g[1:])
+        d = discount(map(follow, levels[order - len(g)]))
+        return (max(follow(g) - d, 0) + d * len(here) * shared(g[1:])) / sum(map(follow, here))
+
+    def p(k, g):
+        own = [x for x in grams[k] if x[:-1] == g[:-1]]
+        d = discount(toxicity.Counter(grams[k]).values())
+        if not own:
+            return shared(g[1:])
+        return (max(own.count(g) - d, 0) + d * len(set(own)) * shared(g[1:])) / len(own)
+
+    words = [texts[0][0], texts[1][0], "abcabc", "zz", "a"]
+    want = [sum(np.log(p(0, g) / p(1, g)) for g in (f"{pad}{w} "[i : i + order] for i in range(len(w) + 1))) for w in words]
+    assert np.allclose(toxicity.word_scores(model, words), want)
+    text = words * 3
+    llr, size = np.array(want * 3), np.array([len(w) + 1 for w in text])
+    best = [max(llr[a : a + k].sum() / size[a : a + k].sum() for a in range(len(text) - k + 1)) for k in (len(text), *toxicity.PASSAGES)]
+    assert np.allclose(toxicity.Scorer(model).features([" ".join(text), "", "zz"])[0], best)
+
+
 def test_toxicity_awkward(awkward, no_documents, spark):
     labels = spark.createDataFrame([(3, 1), (5, 0), (5, 0), (11, 1), (11, 0), (None, 1), (13, None)], "doc_id long, toxic int")
     rows = toxicity.judged(awkward, labels).collect()
@@ -91,7 +133,7 @@ def test_network_gradients():
     net = convnet.new_net(rng)
     texts, good, weight = [b"some words in a text " * 9, b"### *** ###", b""], np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
     _, g = convnet.gradients(net, texts, good, weight)
-    for name in ("out", "hidden", "bias", "filters"):
+    for name in ("out", "out_bias", "hidden", "hidden_bias", "bias", "filters", "embed"):
         value, slope = getattr(net, name), getattr(g, name)
         for at in [np.unravel_index(np.abs(slope).argmax(), slope.shape), np.unravel_index(slope.argmin(), slope.shape)]:
             before, step = value[at], 1e-2
@@ -103,6 +145,31 @@ def test_network_gradients():
             assert abs((up - down) / (2 * step) - slope[at]) < 0.05 * abs(slope[at]) + 2e-3, name
 
 
+def test_network_forward_pass():
+    """Against a plain convolution, position by position, of texts from empty to several slices of half chunks."""
+    rng = np.random.default_rng(5)
+    net = convnet.new_net(rng)
+    net.bias, net.hidden_bias, net.out_bias = (rng.standard_normal(x.shape).astype(np.float32) * 0.1 for x in (net.bias, net.hidden_bias, net.out_bias))
+    texts = [b"", b"a", b"short text", bytes(rng.integers(0, 256, 700, np.uint8)), "é漢 ".encode() * 90, b"x" * 128, b"y" * 129, bytes(rng.integers(32, 127, 140_000, np.uint8))]
+
+    def plain(text):
+        half = convnet.HALF * convnet.STRIDE
+        n = max(2, -(-(len(text) + convnet.WIDTH) // half))
+        codes = list(text) + [convnet.PAD] * (n * half - len(text))
+        answers = [np.concatenate([net.embed[c] for c in codes[at : at + convnet.WIDTH]]) @ net.filters for at in range(0, n * half - convnet.WIDTH + 1, convnet.STRIDE)]
+        worst = -np.inf
+        for k in range(n - 1):  # chunks of two halves, overlapping by one
+            best = np.max(answers[k * convnet.HALF : (k + 2) * convnet.HALF], axis=0)
+            hidden = np.maximum(np.maximum(best + net.bias, 0) @ net.hidden + net.hidden_bias, 0)
+            worst = max(worst, float(hidden @ net.out + net.out_bias[0]))
+        return 1 / (1 + np.exp(worst))
+
+    # what follows in a batch belongs to the next text: each alone and all together
+    want = [plain(t) for t in texts]
+    assert np.allclose(convnet.predict(net, texts[:3] + texts[4:]), want[:3] + want[4:], atol=1e-4)
+    assert np.allclose([convnet.predict(net, [t])[0] for t in texts], want, atol=1e-4)
+
+
 def test_network_sees_the_whole_text():
     rng = np.random.default_rng(0)
     clean = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)).encode()
