@@ -3,8 +3,9 @@
 A vector is described by its nearest reference points (pivots) in order of nearness. Vectors that are close order the
 pivots alike, so candidates are pairs that share at least SHARED of their NEAREST pivots. They are found through inverted
 lists of pivots: two such vectors must meet in a list of the first NEAREST - SHARED + 1 of their pivots by number, so only
-these lists are kept. A pair is compared in the first list in which both appear. Long lists are cut into chunks and each
-pair of chunks is a task's work; what leaves a task is a count for each vector and a forest of the links.
+these lists are kept. A pair is compared in the first list in which both appear. Equal vectors are one, with the number of
+ids that have it. Long lists are cut into chunks and each pair of chunks is a task's work; what leaves a task is a count for
+each vector and a forest of the links.
 """
 
 from __future__ import annotations
@@ -42,15 +43,22 @@ def nearest(pivots: np.ndarray, x: np.ndarray, k: int = NEAREST) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """_id, _v, _l of the different vectors that can be linked, without null or non-finite components, not zero, with a
-    label and an id; _many: whether their id has several."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors that can be linked (without null or non-finite components, not zero, with a label and an id) as classes
+    of equal ones: classes has _k, _l, _v, _own (the smallest id that has it), _plain (how many ids have it and no other
+    vector) and _some (whether it has other ids too); members has _k, _id and _many (whether the id has several vectors)."""
     own = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).cast("string").alias("_l"))
     bad = F.exists("_v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     own = own.filter(F.col("_id").isNotNull() & F.col("_l").isNotNull() & F.col("_v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("_v", lambda c: c != 0))
-    own = written(own.distinct(), "usable-vectors")
-    many = own.groupBy("_id").count().filter("count > 1").select("_id", F.lit(True).alias("_many"))
-    return own.join(many, "_id", "left").withColumn("_many", F.coalesce("_many", F.lit(False)))
+    own = own.withColumn("_v", F.transform("_v", lambda c: c + F.lit(0.0)))  # -0.0 is 0.0
+    named = own.select("*", F.xxhash64("_l", "_v").alias("_a"), F.xxhash64("_v", F.lit("second"), "_l").alias("_b"))
+    single = named.groupBy("_a", "_b").agg(F.first("_l").alias("_l"), F.first("_v").alias("_v"), F.min("_id").alias("_own"))
+    single = written(single.withColumn("_k", F.monotonically_increasing_id()), "vectors")
+    ids = written(named.select("_id", "_a", "_b").distinct().join(single.select("_a", "_b", "_k"), ["_a", "_b"]).select("_id", "_k"), "vector-ids")
+    many = ids.groupBy("_id").count().filter("count > 1").select("_id", F.lit(True).alias("_many"))
+    members = written(ids.join(many, "_id", "left").withColumn("_many", F.coalesce("_many", F.lit(False))), "vector-members")
+    sizes = members.groupBy("_k").agg(F.count_if(~F.col("_many")).alias("_plain"), F.bool_or("_many").alias("_some"))
+    return written(single.join(sizes, "_k").select("_k", "_l", "_v", "_own", "_plain", "_some"), "vector-classes"), members
 
 
 def unit(rows: list) -> np.ndarray:
@@ -59,46 +67,46 @@ def unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """Rows (id, n, root, other): each comparison of chunks gives n, the links found of a vector, and root, the smallest id
-    that these links lead to. Where one end's id has several vectors, its links aren't in n, but rows with the id at the
-    other end as `other` (else null), for two ids may link by more than one pair of vectors. Links are pairs with equal labels and dimensions whose cosine in double precision reaches the
-    threshold."""
-    good = usable(vectors, id_col, vector_col, label_col)
-    sample = good.select("_v", F.size("_v").alias("_n"), F.xxhash64("_id", "_l").alias("_h"), "_id").orderBy("_h", "_id", "_v").limit(PIVOT_SAMPLE).collect()
+def near_links(classes: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """Rows (k, n, own, root, other): each comparison of chunks gives n, how many plain ids have the vectors that class k
+    links with, and root, the smallest id that these links lead to from own. Where ids with several vectors are at one end,
+    the pair of classes is there too, k and `other` (else null). Links are pairs with equal labels and dimensions whose cosine
+    in double precision reaches the threshold. kind: of the components that tasks send each other."""
+    sample = classes.select("_v", F.size("_v").alias("_n"), F.xxhash64("_own", "_l").alias("_h"), "_own").orderBy("_h", "_own", "_v").limit(PIVOT_SAMPLE).collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(r._n, []).append(r._v)
-    spark = vectors.sparkSession
+    spark = classes.sparkSession
     shipped = spark.sparkContext.broadcast({n: pick_pivots(unit(rows)) for n, rows in by_size.items()})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, v = batch.column("_id").to_numpy(), batch.column("_l").to_pylist(), batch.column("_v").to_pylist()
+            v = batch.column("_v").to_pylist()
             sizes = np.array([len(x) for x in v])
             for n in np.unique(sizes):
                 own = np.flatnonzero(sizes == n)
-                x = unit([v[i] for i in own])
+                raw = np.array([v[i] for i in own], np.float64)
                 pivots = shipped.value.get(int(n))
                 # a dimension that the sample missed has the one list 0
-                near = np.sort(nearest(pivots, x), axis=1) if pivots is not None else np.zeros((len(own), 1), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([labels[i] for i in own], pa.string()), pa.array([n] * len(own), pa.int32()), pa.array(list(near), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("_many").take(pa.array(own))], ["_id", "_l", "_n", "_near", "_x", "_many"])
+                near = np.sort(nearest(pivots, unit(raw)), axis=1) if pivots is not None else np.zeros((len(own), 1), np.int32)
+                same = [batch.column(c).take(pa.array(own)) for c in ("_k", "_l", "_own", "_plain", "_some")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([n] * len(own), pa.int32()), pa.array(list(near), pa.list_(pa.int32())), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())], ["_k", "_l", "_own", "_plain", "_some", "_n", "_near", "_x"])
 
-    described = written(good.mapInArrow(describe, "_id long, _l string, _n int, _near array<int>, _x binary, _many boolean"), "vectors")
+    described = written(classes.mapInArrow(describe, "_k long, _l string, _own long, _plain long, _some boolean, _n int, _near array<int>, _x binary"), "described-vectors")
     first = F.greatest(F.lit(1), F.size("_near") - (SHARED - 1))
     listed = described.withColumn("_p", F.explode(F.slice("_near", 1, first)))
     sizes = listed.groupBy("_l", "_n", "_p").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
-    listed = listed.join(sizes, ["_l", "_n", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_id", "_x"), "_chunks").cast("int"))
+    listed = listed.join(sizes, ["_l", "_n", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_k"), "_chunks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    work = listed.withColumn("_o", other).select("_l", "_n", "_p", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_id", "_near", "_x", "_many")
+    work = listed.withColumn("_o", other).select("_l", "_n", "_p", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_k", "_own", "_plain", "_some", "_near", "_x")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, here = int(rows["_i"].iloc[0]), int(rows["_j"].iloc[0]), int(rows["_p"].iloc[0])
         side = lambda c: rows[rows["_c"] == c] if i != j else rows
         a, b = side(i), side(j)
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "n": [], "root": [], "other": []}).astype({"id": "int64", "n": "int64", "root": "int64", "other": "Int64"})
-        xa, xb = (np.frombuffer(b"".join(s["_x"]), np.float64).reshape(len(s), -1) for s in (a, b))
+            return pd.DataFrame({"k": [], "n": [], "own": [], "root": [], "other": []}).astype({"k": "int64", "n": "int64", "own": "int64", "root": "int64", "other": "Int64"})
+        xa, xb = (unit(np.frombuffer(b"".join(s["_x"]), kind).reshape(len(s), -1)) for s in (a, b))
         na, nb = (np.array(list(s["_near"])) for s in (a, b))
 
         def member(near):
@@ -110,13 +118,10 @@ def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
         shared = ma @ mb.T >= min(SHARED, na.shape[1])
         if here:  # the pair's first common list; lists are the first pivots of a vector, so earlier ones are all in lists
             shared &= ma[:, :here] @ mb[:, :here].T == 0
-        link = shared & (xa @ xb.T >= threshold)
-        ia, ib = a["_id"].to_numpy(), b["_id"].to_numpy()
-        link &= ia[:, None] != ib
-        several = link & (a["_many"].to_numpy()[:, None] | b["_many"].to_numpy())
-        plain = link & ~several
-        counted = [(ia, plain.sum(1))] + ([(ib, plain.sum(0))] if i != j else [])
-        la, lb = ia.copy(), ib.copy()
+        ka, kb = a["_k"].to_numpy(), b["_k"].to_numpy()
+        link = shared & (xa @ xb.T >= threshold) & (ka[:, None] != kb)
+        counted = [(a, link @ b["_plain"].to_numpy())] + ([(b, link.T @ a["_plain"].to_numpy())] if i != j else [])
+        la, lb = a["_own"].to_numpy().copy(), b["_own"].to_numpy().copy()
         big = np.iinfo(np.int64).max
         while True:
             new = np.minimum(la, np.where(link, lb[None, :], big).min(1))
@@ -124,25 +129,37 @@ def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
             if (new == la).all() and (after == lb).all():
                 break
             la, lb = new, after
-        out = pd.DataFrame({"id": np.concatenate([c[0] for c in counted]), "n": np.concatenate([c[1] for c in counted]), "root": np.concatenate([la] + ([lb] if i != j else []))})
-        out = out[(out["n"] > 0) | (out["root"] != out["id"])].astype("int64")
-        at, to = several.nonzero()
-        pairs = pd.DataFrame({"id": np.concatenate([ia[at], ib[to]]), "other": np.concatenate([ib[to], ia[at]])}).drop_duplicates()
-        pairs = pairs.assign(n=0, root=pairs["id"])[["id", "n", "root", "other"]]
+        out = pd.DataFrame({"k": np.concatenate([c["_k"] for c, _ in counted]), "n": np.concatenate([n for _, n in counted]), "own": np.concatenate([c["_own"] for c, _ in counted]), "root": np.concatenate([la] + ([lb] if i != j else []))})
+        out = out[(out["n"] > 0) | (out["root"] != out["own"])].astype("int64")
+        at, to = (link & (a["_some"].to_numpy()[:, None] | b["_some"].to_numpy())).nonzero()
+        pairs = pd.DataFrame({"k": np.concatenate([ka[at], kb[to]]), "other": np.concatenate([kb[to], ka[at]])}).drop_duplicates()
+        pairs = pairs.assign(n=0, own=0, root=0)[["k", "n", "own", "root", "other"]]
         return pd.concat([out.assign(other=pd.array([None] * len(out), "Int64")), pairs.astype({"other": "Int64"})])
 
-    return written(work.groupBy("_l", "_n", "_p", "_i", "_j").applyInPandas(compare, "id long, n long, root long, other long"), "vector-links")
+    return written(work.groupBy("_l", "_n", "_p", "_i", "_j").applyInPandas(compare, "k long, n long, own long, root long, other long"), "vector-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row for each vector (id): n_links, component_id and kept. Rows with one id are one document: it links with
-    another id, once, if any of its vectors does. Rows without an id give one row without links, component or keeping. Vectors that can't be linked are components of their own."""
-    links = near_links(vectors, threshold, id_col, vector_col, label_col)
-    # links by several vectors count once
-    plain = links.filter("other is null").select("id", "n").unionByName(links.filter("other is not null").select("id", "other").distinct().select("id", F.lit(1).cast("long").alias("n")))
-    counts = plain.groupBy("id").agg(F.sum("n").alias("n_links"))
-    found = components(links.select("id", "root"))
+    """One row for each vector (id): n_links, component_id and kept. Equal vectors are compared once, however many ids have
+    them. Rows with one id are one document: it links with another id, once, if any of its vectors does. Rows without an id
+    give one row without links, component or keeping. Vectors that can't be linked are components of their own."""
+    classes, members = usable(vectors, id_col, vector_col, label_col)
+    links = near_links(classes, threshold, "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8")
+    plain = classes.select("_k", "_plain")
+    counts = plain.join(links.filter("other is null").groupBy("k").agg(F.sum("n").alias("_n")).withColumnRenamed("k", "_k"), "_k", "left")
+    # ids with several vectors may link with an id by more than one pair of vectors: they are told apart by id
+    several = members.filter("_many").select("_k", F.col("_id").alias("_y"))
+    around = links.filter("other is not null").select(F.col("k").alias("_k"), "other").unionByName(several.select("_k", F.col("_k").alias("other"))).distinct()
+    met = written(around.join(several.select(F.col("_k").alias("other"), "_y"), "other").select("_k", "_y").distinct(), "several-met")
+    counts = counts.join(met.groupBy("_k").agg(F.count("*").alias("_m")), "_k", "left")
+    counts = counts.select("_k", (F.col("_plain") + F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0)) - 1).alias("n_links"))
+    one = members.filter("not _many").join(counts, "_k").select("_id", "n_links")
+    ids = several.join(around, "_k").select("_y", F.col("other").alias("_k")).distinct().join(plain, "_k").groupBy("_y").agg(F.sum("_plain").alias("_p"))
+    others = several.join(met.withColumnRenamed("_y", "_z"), "_k").filter("_y != _z").select("_y", "_z").distinct().groupBy("_y").agg(F.count("*").alias("_q"))
+    more = ids.join(others, "_y", "left").select(F.col("_y").alias("_id"), (F.col("_p") + F.coalesce("_q", F.lit(0))).alias("n_links"))
+    ends = members.join(classes.select("_k", "_own"), "_k").select(F.col("_id").alias("id"), F.col("_own").alias("root"))
+    found = components(links.filter("other is null").select(F.col("own").alias("id"), "root").unionByName(ends))
     every = vectors.select(F.col(id_col).cast("long").alias("_id")).distinct()
-    out = every.join(counts.withColumnRenamed("id", "_id"), "_id", "left").join(found.withColumnRenamed("id", "_id"), "_id", "left")
+    out = every.join(one.unionByName(more), "_id", "left").join(found.withColumnRenamed("id", "_id"), "_id", "left")
     own = F.coalesce("component_id", "_id")
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("_id") == own, F.lit(False)).alias("kept"))

@@ -298,3 +298,54 @@ def test_vectors_of_repeated_ids(spark, monkeypatch):
         monkeypatch.setattr(vectors, "CHUNK", chunk)
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
         assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (3, 1, False), 4: (1, 1, False), 5: (0, 5, True), None: (0, None, False)}
+
+
+def test_equal_vectors_are_compared_once(spark):
+    """Thousands of copies of one vector, and ids with several vectors that others have too, against brute force."""
+    rng = np.random.default_rng(4)
+    base = [[float(np.float32(z)) for z in c] for c in np.concatenate([rng.standard_normal((6, 4)), [[1, 0, 0, 0], [1, 0.05, 0, 0], [1, 0, -0.0, 0.06]]])]
+    rows = [(int(rng.integers(0, 60)), base[int(rng.integers(0, len(base)))], int(rng.integers(0, 2))) for _ in range(150)]
+    found = {}
+    for a, x, p in rows:
+        for b, y, q in rows:
+            if a != b and p == q and np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)) >= 0.98:
+                found.setdefault(a, set()).add(b)
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    root = roots(list(got), [(a, b) for a, x in found.items() for b in x])
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (len(found.get(i, ())), root[i]) for i in got}
+    copies = [(10_000 + k, [1.0, 0.0], 7) for k in range(3000)] + [(9, [1.0, 0.01], 7), (8, [0.0, 1.0], 7)]
+    own = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(copies, "vec_id long, embedding array<float>, label int")).collect()}
+    assert own == {k: (3000, 9, k == 9) for k in [9, *range(10_000, 13_000)]} | {8: (0, 8, True)}
+
+
+def test_vectors_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1, 5, 6, 7, "x"), (2, [1.0, 0.0], 1, 5, 6, 7, "x")], "vec_id long, embedding array<float>, label int, _k long, component_id long, n_links long, _own string")
+    assert sorted(tuple(r) for r in vectors.near_duplicates(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_join_of_texts_that_share_a_passage(spark):
+    """Thousands of different texts with one passage in common, which is most of some and not enough of others."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(k, passage + " " + " ".join(f"q{k}x{i}" for i in range(2 if k % 50 == 0 else 40))) for k in range(3000)]
+    got = sorted((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == [(k, 38, 59, 0) if k % 50 == 0 else (k, 76, 0, k) for k in range(3000)]
+
+
+def test_a_window_in_every_document(spark):
+    notice = " ".join(f"n{i}" for i in range(20))
+    rows = [(k, f"a{k} b{k} {notice} c{k}") for k in range(3000)]
+    got = {r.row.doc_id: (r.n_words, r.n_removed) for r in recompress.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {k: (23, 20 if k else 0) for k in range(3000)}
+
+
+def test_word_hashes():
+    """Equal words have equal hashes wherever they are, others have others; words longer than a part too."""
+    rng = random.Random(6)
+    texts = [b"", b" \n", b"a", ("é" * 40_000 + " b " + "x" * 200_000 + " " + "x" * 200_001).encode(), " ".join(rng.choice(["ab", "ba", "a", "b", "abab", "\x85", "y" * 1024, "y" * 1025]) for _ in range(60_000)).encode(), b"x" * 200_000]
+    h, sizes = blocks.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts] and len(words) == len(h)
+    named = {}
+    for w, k in zip(words, h.tolist(), strict=True):
+        assert named.setdefault(w, k) == k
+    assert len(set(named.values())) == len(named)
