@@ -58,6 +58,7 @@ def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     stream.write_batch(own)
                 rest = pack.compress(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array([len(raw)], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys.tobytes(), none.tobytes(), sizes.tobytes(), pack.compress(raw), rest))], ["n_bytes", "ids", "no_id", "sizes", "texts", "rest"])
+        trim()
 
     more = [F.struct(*carry).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)

@@ -87,6 +87,7 @@ def trim() -> None:
     """Gives memory that a Python worker has freed back to the system: workers live on after a task, and what several of
     them hold unused counts against their executor."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

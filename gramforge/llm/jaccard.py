@@ -303,6 +303,8 @@ class Join:
             places = sorted(set(own["_place"].astype(int)))
             e = Elements(B.unpacked(block.iloc[0])[2], rows[rows["bucket"] >= 0], n, words, places)
             made = {i: e.of(i).tobytes() for i in places}
+            del e
+            trim()
             return out.assign(_set=[made[int(i)] for i in own["_place"]])
 
         return self.blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(run, "_task int, _id long, _copies long, _set binary")

@@ -11,6 +11,7 @@ each vector and a forest of the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from gramforge.llm.components import components
 PIVOTS, NEAREST, SHARED, PIVOT_SAMPLE, APART = 256, 8, 3, 4096, 0.5
 #: Rows of a list that are compared with as many others at a time.
 CHUNK = 1024
+#: Rows of lists that a task compares, about.
+TASK_ROWS = 16384
 
 
 def pick_pivots(sample: np.ndarray, most: int = PIVOTS, apart: float = APART) -> np.ndarray:
@@ -95,33 +98,29 @@ def near_links(classes: DataFrame, threshold: float, kind: str) -> DataFrame:
     described = written(classes.mapInArrow(describe, "_k long, _l string, _own long, _plain long, _some boolean, _n int, _near array<int>, _x binary"), "described-vectors")
     first = F.greatest(F.lit(1), F.size("_near") - (SHARED - 1))
     listed = described.withColumn("_p", F.explode(F.slice("_near", 1, first)))
-    sizes = listed.groupBy("_l", "_n", "_p").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
+    sizes = written(listed.groupBy("_l", "_n", "_p").agg(F.count("*").alias("_g"), F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")), "vector-lists")
+    total = sizes.agg(F.sum(F.col("_g") * F.col("_chunks"))).first()[0] or 0
+    tasks = max(8, -(-total // TASK_ROWS))
+    sizes = sizes.drop("_g")
     listed = listed.join(sizes, ["_l", "_n", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_k"), "_chunks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
     work = listed.withColumn("_o", other).select("_l", "_n", "_p", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_c", "_k", "_own", "_plain", "_some", "_near", "_x")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, here = int(rows["_i"].iloc[0]), int(rows["_j"].iloc[0]), int(rows["_p"].iloc[0])
-        side = lambda c: rows[rows["_c"] == c] if i != j else rows
-        a, b = side(i), side(j)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"k": [], "n": [], "own": [], "root": [], "other": []}).astype({"k": "int64", "n": "int64", "own": "int64", "root": "int64", "other": "Int64"})
-        xa, xb = (unit(np.frombuffer(b"".join(s["_x"]), kind).reshape(len(s), -1)) for s in (a, b))
-        na, nb = (np.array(list(s["_near"])) for s in (a, b))
-
-        def member(near):
-            m = np.zeros((len(near), max(int(na.max()), int(nb.max())) + 1), np.float32)
-            m[np.arange(len(near))[:, None], near] = 1
-            return m
-
-        ma, mb = member(na), member(nb)
-        shared = ma @ mb.T >= min(SHARED, na.shape[1])
+    def compare(chunk: np.ndarray, here: int, near: np.ndarray, x: np.ndarray, k: np.ndarray, own: np.ndarray, plain: np.ndarray, some: np.ndarray, two: bool):
+        """The links between the chunks of a list (or within its one chunk): counted rows and pairs of classes."""
+        a, b = (np.flatnonzero(chunk == c) for c in (chunk.min(), chunk.max())) if two else (np.arange(len(k)),) * 2
+        m = np.zeros((len(near), int(near.max()) + 1), np.float32)
+        m[np.arange(len(near))[:, None], near] = 1
+        shared = m[a] @ m[b].T >= min(SHARED, near.shape[1])
         if here:  # the pair's first common list; lists are the first pivots of a vector, so earlier ones are all in lists
-            shared &= ma[:, :here] @ mb[:, :here].T == 0
-        ka, kb = a["_k"].to_numpy(), b["_k"].to_numpy()
-        link = shared & (xa @ xb.T >= threshold) & (ka[:, None] != kb)
-        counted = [(a, link @ b["_plain"].to_numpy())] + ([(b, link.T @ a["_plain"].to_numpy())] if i != j else [])
-        la, lb = a["_own"].to_numpy().copy(), b["_own"].to_numpy().copy()
+            shared &= m[a, :here] @ m[b, :here].T == 0
+        x = unit(x)
+        link = shared & (x[a] @ x[b].T >= threshold) & (k[a][:, None] != k[b])
+        if not link.any():
+            return None
+        met = link.astype(np.float64)  # counts of ids are exact in it
+        n = [met @ plain[b].astype(np.float64)] + ([met.T @ plain[a].astype(np.float64)] if two else [])
+        la, lb = own[a].copy(), own[b].copy()
         big = np.iinfo(np.int64).max
         while True:
             new = np.minimum(la, np.where(link, lb[None, :], big).min(1))
@@ -129,14 +128,41 @@ def near_links(classes: DataFrame, threshold: float, kind: str) -> DataFrame:
             if (new == la).all() and (after == lb).all():
                 break
             la, lb = new, after
-        out = pd.DataFrame({"k": np.concatenate([c["_k"] for c, _ in counted]), "n": np.concatenate([n for _, n in counted]), "own": np.concatenate([c["_own"] for c, _ in counted]), "root": np.concatenate([la] + ([lb] if i != j else []))})
-        out = out[(out["n"] > 0) | (out["root"] != out["own"])].astype("int64")
-        at, to = (link & (a["_some"].to_numpy()[:, None] | b["_some"].to_numpy())).nonzero()
-        pairs = pd.DataFrame({"k": np.concatenate([ka[at], kb[to]]), "other": np.concatenate([kb[to], ka[at]])}).drop_duplicates()
-        pairs = pairs.assign(n=0, own=0, root=0)[["k", "n", "own", "root", "other"]]
-        return pd.concat([out.assign(other=pd.array([None] * len(out), "Int64")), pairs.astype({"other": "Int64"})])
-
-    return written(work.groupBy("_l", "_n", "_p", "_i", "_j").applyInPandas(compare, "k long, n long, own long, root long, other long"), "vector-links")
+        at, to = (link & (some[a][:, None] | some[b])).nonzero()
+        pairs = np.unique(np.stack([np.concatenate([k[a][at], k[b][to]]), np.concatenate([k[b][to], k[a][at]])]), axis=1)
+        every = np.concatenate([a, b]) if two else a
+        n, root = np.concatenate(n).astype(np.int64), np.concatenate([la, lb]) if two else la
+        keep = (n > 0) | (root != own[every])
+        return (k[every][keep], n[keep], own[every][keep], root[keep]), pairs
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The lists of a task, one after the other."""
+        by = ["_l", "_n", "_p", "_i", "_j"]
+        rows = rows.sort_values(by, ignore_index=True)
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[by].iloc[1:].to_numpy() != rows[by].iloc[:-1].to_numpy()).any(1)
+        starts = [*np.flatnonzero(new).tolist(), len(rows)]
+        chunk, here, i, j, k, own, plain, some = (rows[c].to_numpy() for c in ("_c", "_p", "_i", "_j", "_k", "_own", "_plain", "_some"))
+        near, x = rows["_near"].tolist(), rows["_x"].tolist()
+        rows_, pairs_ = [], []
+        for a, b in pairwise(starts):
+            two = bool(i[a] != j[a])
+            if b - a < 2 or two and (chunk[a:b] == chunk[a]).all():
+                continue
+            raw = np.frombuffer(b"".join(x[a:b]), kind).reshape(b - a, -1)
+            got = compare(chunk[a:b], int(here[a]), np.stack(near[a:b]), raw, k[a:b], own[a:b], plain[a:b], some[a:b], two)
+            if got:
+                rows_.append(got[0])
+                pairs_.append(got[1])
+        if not rows_:
+            return pd.DataFrame({"k": [], "n": [], "own": [], "root": [], "other": []}).astype({"k": "int64", "n": "int64", "own": "int64", "root": "int64", "other": "Int64"})
+        out = pd.DataFrame(dict(zip(("k", "n", "own", "root"), map(np.concatenate, zip(*rows_, strict=True)), strict=True)))
+        more = np.unique(np.concatenate(pairs_, axis=1), axis=1)
+        more = pd.DataFrame({"k": more[0], "n": 0, "own": 0, "root": 0, "other": pd.array(more[1], "Int64")})
+        return pd.concat([out.assign(other=pd.array([None] * len(out), "Int64")), more])
+
+    task = F.pmod(F.xxhash64("_l", "_n", "_p", "_i", "_j"), F.lit(tasks)).alias("_task")
+    return written(work.withColumn("_task", task).groupBy("_task").applyInPandas(run, "k long, n long, own long, root long, other long"), "vector-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
