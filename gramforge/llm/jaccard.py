@@ -275,9 +275,9 @@ class Join:
     single the sets: _id (the number), _n, _own (the smallest id of the documents that have it), _copies (how many they
     are), and where the first of them is."""
 
-    def __init__(self, docs: DataFrame, percent: int, words: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, percent: int, words: int, id_col: str, text_col: str, carry: list[str] | None = None):
         self.percent, self.words = percent, words
-        self.blocks = B.make_blocks(docs, id_col, text_col)
+        self.blocks = B.make_blocks(docs, id_col, text_col, carry)
         self.n = B.n_buckets(self.blocks)
         self.classes = B.frequency_classes(self.blocks, lambda texts: shingles(texts, words), self.n, "shingle-classes")
         every = described(self.blocks, self.classes, self.n, words, percent)
@@ -350,7 +350,13 @@ def linked_documents(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     percent * union. A null text is empty; texts without words link with nothing; rows without an id neither link nor have a
     component. Rows that repeat an id are linked by it. A task holds one block, or one text that is longer, at about 120
     bytes a word, and the sets of some TASK_SETS members."""
-    own = Join(docs, percent, words, id_col, text_col)
+    out = counted(Join(docs, percent, words, id_col, text_col))
+    some = lambda c: F.when(~F.col("_none"), c)
+    return out.select(some(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_k", F.lit(0)).alias("n_links"), some(F.coalesce("component_id", "_id")).alias("component_id"))
+
+
+def counted(own: Join) -> DataFrame:
+    """_id, _none, _n, _k (number of links, null for none) and component_id (null for a row by itself) of each row."""
     met = own.met(pairs=False)
     counts = own.single.select(F.col("_id").alias("_s"), "_own", "_copies").join(met.groupBy("id").agg(F.sum("n").alias("_l")).withColumnRenamed("id", "_s"), "_s", "left")
     counts = counts.select("_s", "_own", (F.col("_copies") - 1 + F.coalesce("_l", F.lit(0))).alias("_k"))
@@ -359,6 +365,41 @@ def linked_documents(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     ends = met.filter("id != root").select(F.col("id").alias("x"), F.col("root").alias("y")).distinct()
     ends = ends.join(names.withColumnRenamed("n", "x"), "x").select("y", F.col("o").alias("x")).join(names.withColumnRenamed("n", "y"), "y").select("x", F.col("o").alias("y"))
     found = components(ends.unionByName(rows.filter("_own != _id").select(F.col("_id").alias("x"), F.col("_own").alias("y"))))
-    out = rows.join(found.withColumnRenamed("id", "_id"), "_id", "left")
-    some = lambda c: F.when(~F.col("_none"), c)
-    return out.select(some(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_k", F.lit(0)).alias("n_links"), some(F.coalesce("component_id", "_id")).alias("component_id"))
+    return rows.join(found.withColumnRenamed("id", "_id"), "_id", "left")
+
+
+def without_near_copies(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest id, rows without an id last. Rows are told
+    apart by a key of their own, so that null and repeated ids link, stay and go like others. What goes is said to the
+    blocks, which hold the rows: texts aren't shuffled for it."""
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    carried = [c for c in docs.columns if c != text_col]
+    own = Join(docs.withColumn(key, F.monotonically_increasing_id()), percent, words, key, text_col, carried)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = np.frombuffer(row["ids"], np.int64)
+                ids = B.carried(row).field(id_col).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), row["block"])), pa.array(np.arange(len(keys), dtype=np.int32)), ids], ["_id", "block", "_place", "_doc"])
+
+    at = own.blocks.select("block", "ids", "rest").mapInArrow(places, "_id long, block long, _place int, _doc long")
+    rows = written(at.join(counted(own).select("_id", F.coalesce("component_id", "_id").alias("_part")), "_id"), "near-copies")
+    first = rows.groupBy("_part").agg(F.min(F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_id")).alias("_f")).select(F.col("_f._id").alias("_id"))
+    gone = rows.join(first, "_id", "left_anti").select("block", "_place")
+    names = docs.columns
+
+    def run(block: pa.Table, drops: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        texts, null = B.unpacked(row)[2], np.frombuffer(row["sizes"], np.int64) < 0
+        keep = np.ones(len(texts), bool)
+        keep[drops.column("_place").to_numpy()] = False
+        rest = B.carried(row).filter(pa.array(keep))
+        text = pa.array([None if n else t.decode() for t, n, k in zip(texts, null.tolist(), keep.tolist(), strict=True) if k], pa.string())
+        del texts
+        trim()
+        return pa.Table.from_arrays([text if c == text_col else rest.field(c) for c in names], names)
+
+    return own.blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(run, docs.schema)
