@@ -24,13 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: the one with the smallest id, rows without an id last. Rows are told apart by a key of
-    their own, so that null and repeated ids link, stay and go like others."""
-    keyed = written(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
-    ids = keyed.select("_row_key", F.col("doc_id").isNull().alias("_none"), "doc_id")
-    groups = written(jaccard.linked_documents(keyed, id_col="_row_key").join(ids, "_row_key"), "near-copies")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row_key")).alias("_f")).select(F.col("_f._row_key").alias("_row_key"))
-    return keyed.join(groups.select("_row_key").join(first, "_row_key", "left_anti"), "_row_key", "left_anti").select(*docs.columns)
+    """One row of each group stays: the one with the smallest id, rows without an id last."""
+    return jaccard.without_near_copies(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
