@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = [f"gramforge.llm.queries_{name}" for name in ("text", "pairs", "tables", "models")]
+MODULES = [f"gramforge.llm.queries_{name}" for name in ("text", "pairs", "tables")]
 
 
 def _gather(name: str) -> dict:
