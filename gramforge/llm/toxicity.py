@@ -3,8 +3,10 @@
 Each class (toxic, ordinary) has counts of the characters that follow each five; both back off to one shared model of
 lower order, whose continuation counts come from the two classes together. An expression that a class has rarely or
 never seen thus gets the shared probability, and neither class gains from it. What a text scores by is the difference
-of the two log-likelihoods, normalised by length, over the whole text and over its words: a toxic text holds a few toxic
-words among ordinary ones. A logistic function fitted on labelled texts makes it a probability.
+of the two log-likelihoods, normalised by length, in three ways: all of the text against all of it, by characters; and, for a
+toxic text holds few toxic words among ordinary ones, one word or two words from the toxic model and the others from the
+ordinary one, wherever they are: the mean of the likelihood ratios over all words, or over all pairs of words. A logistic
+function fitted on labelled texts makes these three a probability; nothing else enters it.
 
 A character whose five predecessors were never seen in training contributes 0. If the predecessors were seen but not
 with this character, the shared probability cancels and the difference depends on the predecessors alone. So the whole
@@ -29,7 +31,11 @@ ORDER = 6
 PER_CLASS, MAX_BYTES = 4000, 10 << 20
 #: Entries of a worker's cache of scored words; bounds memory only.
 CACHE = 400_000
+#: Log-likelihood ratios that a text scores by.
+FEATURES = 3
 SCORE_SCHEMA = "id long, score double"
+#: A word's log-likelihood ratio counts up to so much.
+MOST = 30
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,27 +175,29 @@ class Scorer:
         new.difference_update(self.seen)
         if new := sorted(new):
             self.seen.update(zip(new, word_scores(self.model, new).tolist(), strict=True))
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), FEATURES))
         for i, words in enumerate(split):
             if words:
                 s = np.fromiter(map(self.seen.__getitem__, words), float, len(words))
-                size = len(texts[i])
-                top = np.sort(s[np.argpartition(s, -3)[-3:]] if len(s) > 3 else s)[::-1]
-                out[i] = np.clip(s.sum() / max(size, 1), -1, 1) * 20, min(top[0], 30) / 5, min(top[:2].mean(), 30) / 5 if len(top) > 1 else 0, np.log1p(len(words)) / 4
+                n, ratio = len(words), np.exp(np.clip(s, -MOST, MOST))
+                one = np.log(ratio.mean())
+                two = np.log(ratio[1:] @ np.cumsum(ratio[:-1]) / (n * (n - 1) / 2)) / 2 if n > 1 else one
+                out[i] = np.clip(s.sum() / len(texts[i]), -1, 1) * 20, one / 5, two / 5
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.model.weights[:-1] + self.model.weights[-1], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton steps, the bias last; the classes weigh as they occur."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps, the bias last, under a normal prior that counts for less the more
+    rows there are; the classes weigh as they occur."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + l2 * len(x) * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + l2 * len(x) * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - y) + l2 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -197,8 +205,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -
 
 
 def fit(sample: list[tuple[str, int]]) -> KneserNey:
-    """Counts from two thirds of the sample, the logistic function from the last third, on which the counts say nothing
-    beforehand; then counts from all of it. Without both classes every text scores the toxic share of the sample."""
+    """The logistic function from thirds of the sample, each scored by the counts of the other two; then counts from all of
+    it. Without both classes every text scores the toxic share of the sample."""
     def counts(rows):
         out = [Counter(), Counter()]
         for text, y in rows:
@@ -209,13 +217,12 @@ def fit(sample: list[tuple[str, int]]) -> KneserNey:
     empty = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
     if len(set(y.tolist())) < 2:
         share = y.mean() if len(y) else 0.0
-        return KneserNey(*empty, np.array([0, 0, 0, 0, np.log((share + 1e-6) / (1 - share + 1e-6))]))
-    part = [i for i in range(len(sample)) if i % 3 != 2]
-    held = [i for i in range(len(sample)) if i % 3 == 2]
-    model = KneserNey(*fit_counts(*counts([sample[i] for i in part])), np.zeros(5))
-    x = Scorer(model).features([sample[i][0] for i in held])
-    weights = logistic(x, y[held])
-    return KneserNey(*fit_counts(*counts(sample)), weights)
+        return KneserNey(*empty, np.array([*[0] * FEATURES, np.log((share + 1e-6) / (1 - share + 1e-6))]))
+    x, none = np.zeros((len(sample), FEATURES)), np.zeros(FEATURES + 1)
+    for third in range(3):
+        model = KneserNey(*fit_counts(*counts([row for i, row in enumerate(sample) if i % 3 != third])), none)
+        x[third::3] = Scorer(model).features([text for text, _ in sample[third::3]])
+    return KneserNey(*fit_counts(*counts(sample)), logistic(x, y))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> KneserNey:

@@ -92,9 +92,20 @@ def test_log_likelihoods():
     words = [texts[0][0], texts[1][0], "abcabc", "zz", "a"]
     want = [sum(np.log(p(0, g) / p(1, g)) for g in (f"{pad}{w} "[i : i + order] for i in range(len(w) + 1))) for w in words]
     assert np.allclose(toxicity.word_scores(model, words), want)
-    text, llr = " ".join(words * 3), sorted(want * 3)
+    text, llr = " ".join(words * 3), want * 3
     rate = np.clip(sum(llr) / len(text), -1, 1)
-    assert np.allclose(toxicity.Scorer(model).features([text, "", "zz"])[0], [20 * rate, min(llr[-1], 30) / 5, min(np.mean(llr[-2:]), 30) / 5, np.log1p(15) / 4])
+    one = np.mean([np.exp(a) for a in llr])
+    two = np.mean([np.exp(a + b) for i, a in enumerate(llr) for b in llr[:i]])
+    got = toxicity.Scorer(model).features([text, "", "zz"])
+    assert np.allclose(got[0], [20 * rate, np.log(one) / 5, np.log(two) / 10])
+    assert np.allclose(got[1], 0) and np.allclose(got[2], [20 * np.clip(want[3] / 2, -1, 1), want[3] / 5, want[3] / 5])
+
+
+def test_toxicity_extreme_texts():
+    """Likelihood ratios of very long words and of very many words stay finite."""
+    model = toxicity.fit([(f"the river {i} is calm" if i % 2 else f"gruk {i} gruk zork", 1 - i % 2) for i in range(60)])
+    got = toxicity.Scorer(model).scores(["gruk" * 200_000, "the " * 300_000 + "gruk zork", "calm" * 200_000, " \n", "\0 \0\0"])
+    assert np.all(np.isfinite(got)) and np.all((0 <= got) & (got <= 1))
 
 
 def test_toxicity_awkward(awkward, no_documents, spark):
