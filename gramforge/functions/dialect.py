@@ -95,8 +95,13 @@ def _class(p: str, i: int) -> tuple[str, int]:
 def to_java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for Spark's rlike and regexp functions. Raises BadPattern."""
     out, i, open_, may_repeat, n = [], 0, 0, False, len(pattern)
+    names: set[str] = set()
+    # how often what was read last is repeated by the counts in it, and the most of that in each open group
+    times, most = 1, [1]
     while i < n:
         c = pattern[i]
+        if c not in "*+?{":
+            times = 1
         if c == "\\":
             if pattern.startswith("\\Q", i):
                 end = pattern.find("\\E", i + 2)
@@ -121,10 +126,9 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
                 if not m:
                     raise BadPattern("invalid group")
                 if m[1]:
-                    if "_" in m[1]:  # the JVM has no underscore in names
-                        out.append("(")
-                    else:
-                        out.append(f"(?<{m[1]}>")
+                    # the JVM has no underscore in names, and no name twice
+                    out.append("(" if "_" in m[1] or m[1] in names else f"(?<{m[1]}>")
+                    names.add(m[1])
                 else:
                     if "U" in m[2]:
                         raise BadPattern("the flag U is not supported here")
@@ -136,12 +140,15 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             else:
                 out.append("(")
                 i += 1
+            if open_ == len(most):
+                most.append(1)
         elif c == ")":
             open_ -= 1
             if open_ < 0:
                 raise BadPattern("unexpected )")
             out.append(")")
-            i, may_repeat = i + 1, True
+            i, may_repeat, times = i + 1, True, most.pop()
+            most[-1] = max(most[-1], times)
         elif c == "|":
             out.append("|")
             i, may_repeat = i + 1, False
@@ -151,6 +158,12 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             m = re.compile(r"[*+?]|\{(\d+)(?:(,)(\d*))?\}").match(pattern, i)
             if m[1] and (int(m[1]) > MAX_REPEAT or m[3] and (int(m[3]) > MAX_REPEAT or int(m[3]) < int(m[1]))):
                 raise BadPattern("bad repetition operator")
+            if m[1]:
+                count = int(m[3] or m[1])
+                times *= max(1, count)
+                if times > MAX_REPEAT and count > 1:
+                    raise BadPattern("bad repetition operator")
+                most[-1] = max(most[-1], times)
             text, i = m[0], m.end()
             if pattern.startswith("?", i):
                 text, i = text + "?", i + 1
@@ -160,7 +173,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             may_repeat = False
         else:
             out.append("\\" + c if c in "{}]" else c)
-            i, may_repeat = i + 1, True
+            i, may_repeat, times = i + 1, True, 1
     if open_:
         raise BadPattern("missing )")
     return ("(?diu)" if ignore_case else "(?d)") + "".join(out)

@@ -1,6 +1,8 @@
 import json
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,13 +116,15 @@ DIALECT = [
     (r"\p{^L}", ["1"], ["a"]),
     (r"\Qa.b\E+", ["a.b", "a.bb"], ["axb"]),
     ("(?i)abc", ["ABC"], ["abd"]),
+    ("^(?P<n>a)(?P<n>b)$", ["ab"], ["a"]),
+    ("^((a{10}){5}b){2}$", ["a" * 50 + "b" + "a" * 50 + "b"], ["a" * 50 + "b"]),
     ("x*", ["", "y"], []),
     ("a|b|", ["c"], []),
     (r"[\d\s-]", ["1", " ", "-"], ["a"]),
     ("[a-c]", ["b"], ["-"]),
     ("#", ["#"], ["a"]),
 ]
-REFUSED = ["(", "a)", "(a)\\1", "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", "(?<n>a)", "a++", "a*+", "a**", "*a", "a{1001}", "a{3,2}", "\\Z", "\\G", "\\k", "(?>a)", "[a", "[[:foo:]]", "a\\", "(?U)a+", "|*", "\\8", "[z-a]", "(?x)a"]
+REFUSED = ["(", "a)", "(a)\\1", "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", "(?<n>a)", "a++", "a*+", "a**", "*a", "a{1001}", "a{3,2}", "(a{500}){3}", "(a|(?:b{2,}c{9}){12}){10}", "\\Z", "\\G", "\\k", "(?>a)", "[a", "[[:foo:]]", "a\\", "(?U)a+", "|*", "\\8", "[z-a]", "(?x)a"]
 
 
 def test_dialect(spark):
@@ -136,6 +140,29 @@ def test_refused(pattern):
         to_java(pattern)
 
 
+def test_validity():
+    """Patterns made of pieces are refused where another RE2 refuses them; one that repeats a flag group is left out."""
+    rng = random.Random(5)
+    pieces = ["a", "b", "(", "(?:", "(?i)", "(?i:", ")", "{2}", "{10}", "{100}", "{500}", "{3,}", "{2,40}", "{0}", "{0,3}", "*", "+", "?", "|", "[ab]", "\\d", "(?P<n>", "(?P<k>", "x{", "]", "}", "\\Qa.\\E"]
+    patterns = ["((a{10}){10}){10}", "((a{10}){10}){11}", "(a{1000}){0,1}", "(a{1000})*", "(a{2}?){500}", "(a{2}?){501}", "[a{2}]{1000}", "(a(?i)b{500}){3}"]
+    patterns += ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(4000)]
+    con = duckdb.connect()
+    for p in patterns:
+        if re.search(r"\(\?i\)[*+?{]", p):
+            continue
+        try:
+            con.execute("SELECT regexp_matches('abc', $1)", [p])
+            valid = True
+        except duckdb.Error:
+            valid = False
+        try:
+            to_java(p)
+            ours = True
+        except BadPattern:
+            ours = False
+        assert ours == valid, p
+
+
 def test_folding(spark):
     assert column(spark, ["é", "É", "straße"], lambda c: c.rlike(to_java("É", ignore_case=True))) == [True, True, False]
 
