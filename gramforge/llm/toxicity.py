@@ -182,14 +182,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.model.weights[:-1] + self.model.weights[-1], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton steps, the bias last; the classes weigh as they occur."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps, the bias last, under a normal prior that counts for less the more
+    rows there are; the classes weigh as they occur."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + l2 * len(x) * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + l2 * len(x) * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - y) + l2 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -197,8 +198,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -
 
 
 def fit(sample: list[tuple[str, int]]) -> KneserNey:
-    """Counts from two thirds of the sample, the logistic function from the last third, on which the counts say nothing
-    beforehand; then counts from all of it. Without both classes every text scores the toxic share of the sample."""
+    """The logistic function from thirds of the sample, each scored by the counts of the other two; then counts from all of
+    it. Without both classes every text scores the toxic share of the sample."""
     def counts(rows):
         out = [Counter(), Counter()]
         for text, y in rows:
@@ -210,12 +211,11 @@ def fit(sample: list[tuple[str, int]]) -> KneserNey:
     if len(set(y.tolist())) < 2:
         share = y.mean() if len(y) else 0.0
         return KneserNey(*empty, np.array([0, 0, 0, 0, np.log((share + 1e-6) / (1 - share + 1e-6))]))
-    part = [i for i in range(len(sample)) if i % 3 != 2]
-    held = [i for i in range(len(sample)) if i % 3 == 2]
-    model = KneserNey(*fit_counts(*counts([sample[i] for i in part])), np.zeros(5))
-    x = Scorer(model).features([sample[i][0] for i in held])
-    weights = logistic(x, y[held])
-    return KneserNey(*fit_counts(*counts(sample)), weights)
+    x = np.zeros((len(sample), 4))
+    for third in range(3):
+        model = KneserNey(*fit_counts(*counts([row for i, row in enumerate(sample) if i % 3 != third])), np.zeros(5))
+        x[third::3] = Scorer(model).features([text for text, _ in sample[third::3]])
+    return KneserNey(*fit_counts(*counts(sample)), logistic(x, y))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> KneserNey:
