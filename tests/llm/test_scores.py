@@ -245,3 +245,46 @@ def test_rules_awkward(awkward, no_documents, spark):
     assert forest.judged(awkward, labels).count() == len(AWKWARD)
     assert forest.judged(no_documents, labels).count() == 0
     assert forest.judged(awkward, labels.limit(0)).filter("kept = base_failed").count() == 0
+
+
+@pytest.fixture(scope="module")
+def many_good():
+    """More good rows than a sample of 4,000 holds; 40 of those that such a sample by hash leaves out are unlike the others."""
+    rng = np.random.default_rng(3)
+    plain = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(12))
+
+    def rows(spark):
+        ids = [r.id for r in spark.range(4700).orderBy(F.xxhash64("id")).collect()]
+        good = [(i, plain() + (" ### ***" if 4000 <= k < 4040 else ""), 1) for k, i in enumerate(ids)]
+        return good + [(i, plain() + " ###### $$$$$$ ||||||" * (1 + i % 5), 0) for i in range(5000, 5200)] + [(6000, "few words", 1)]
+
+    return rows
+
+
+def test_threshold_holds_for_every_labelled_row(spark, many_good):
+    rows = many_good(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    kept = {r.doc_id: r.kept for r in forest.judged(docs, docs).collect()}
+    assert np.mean([kept[i] for i, _, q in rows if q == 1 and i != 6000]) >= 1 - forest.MAX_LOSS
+    assert np.mean([kept[i] for i, _, q in rows if q == 0]) < 0.2
+
+
+def test_forest_of_every_labelled_row(spark, many_good):
+    """Against a fit in numpy of all rows."""
+    rows = many_good(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = forest.fit_on(docs.repartition(7), docs)
+    s = forest.statistics([t.encode() for _, t, _ in rows])
+    x, y, passing = forest.shares(s), np.array([q for *_, q in rows]), ~forest.base_failed(s)
+    box = np.array([x.min(0), x.max(0)])
+    own = x[passing & (y == 1)]
+    want = forest.grow(own, box)
+    assert len(own) == 4700 and (got.feature == want.feature).all() and np.allclose(got.path, want.path)
+    # a good row is calibrated by the forest that doesn't hold it
+    shape = forest.drawn(box)
+    _, without = forest.grown(shape, forest.counts(shape, own))
+    for k in (0, 4020, 4699):
+        assert np.allclose(forest.mean_path(without, own[[k]]), forest.mean_path(forest.grow(np.delete(own, k, 0), box), own[[k]]))
+    good, bad = (np.floor(forest.mean_path(f, z) * forest.STEPS) / forest.STEPS for f, z in ((without, own), (want, x[passing & (y == 0)])))
+    gain = {at: (bad < at).mean() - (good < at).mean() for at in np.unique(np.concatenate([good, bad])) if (good < at).mean() <= forest.MAX_LOSS}
+    assert gain[got.threshold] == max(gain.values())
