@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from gramforge.llm.common import slices, trim
 
-#: Entries in each generation of a cache of encoded pieces; it bounds memory and decides nothing else.
-CACHE = 200_000
+#: Bytes in each generation of a cache of encoded pieces, besides what one slice brings; bounds memory and decides nothing else.
+CACHE_BYTES = 8 << 20
+#: Bytes of text that are encoded at once: what a slice's pieces take on the way is some forty times as much.
+SLICE_BYTES = 1 << 20
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -290,22 +293,32 @@ class ManyPieces:
 
 
 class Recent:
-    """A cache of two generations: a full one becomes the old one, and what is used again moves to the new one."""
+    """A cache of two generations: a full one becomes the old one, and what is used again moves to the new one. One that a
+    slice has filled more than twice (a long text) is dropped."""
+
+    ENTRY = 100  # bytes in the dictionary, about
 
     def __init__(self):
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def missing(self, keys: set[str]) -> list[str]:
         """Those of the keys that neither generation has; the others are in `now` after this."""
-        if len(self.now) > CACHE:
-            self.now, self.old = {}, self.now
+        if self.size > CACHE_BYTES:
+            self.now, self.old, self.size = {}, self.now if self.size <= 2 * CACHE_BYTES else {}, 0
         keys.difference_update(self.now)
         again = [k for k in keys if k in self.old]
-        self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.add(again, map(self.old.__getitem__, again))
         keys.difference_update(again)
         return list(keys)
 
+    def add(self, keys: list[str], values: Iterable[bytes]) -> None:
+        """Keys that `now` doesn't have."""
+        values = list(values)
+        self.now.update(zip(keys, values, strict=True))
+        self.size += sum(map(sys.getsizeof, keys)) + sum(map(sys.getsizeof, values)) + self.ENTRY * len(keys)
+
 
 class Tokenizer:
     """Pieces by a pattern, each encoded separately; ids as little-endian unsigned 32-bit integers."""
@@ -324,7 +337,7 @@ class Tokenizer:
 
     def learn(self, pieces: set[str]) -> None:
         new = self.by_piece.missing(pieces)
-        self.by_piece.now.update(zip(new, self.many.encode([p.encode() for p in new]), strict=True))
+        self.by_piece.add(new, self.many.encode([p.encode() for p in new]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """For the pattern of public_tokenizers, which starts a piece at every single space before a character that isn't
@@ -337,7 +350,7 @@ class Tokenizer:
         one = self.by_piece.now.__getitem__
         ids = list(map(one, found))
         starts = [i for i, p in enumerate(found) if p[0] == " "] + [len(found)]
-        self.by_chunk.now.update((c, ids[a] if b - a == 1 else b"".join(ids[a:b])) for c, a, b in zip(fresh, starts, starts[1:], strict=False))
+        self.by_chunk.add(fresh, (ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, starts[1:], strict=False)))
         chunk = self.by_chunk.now.__getitem__
         return [b"".join(map(one, c)) + (b"".join(map(chunk, p[1:])) if p else b"") for c, p in zip(cut, plain, strict=True)]
 
@@ -356,6 +369,17 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(ranks_from(path), pattern)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], t: Tokenizer, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of id and text as batches of what encode_documents() gives, a slice of the texts at a time."""
+    for part in slices(batches, "text", SLICE_BYTES):
+        out = []
+        for ids in t.encode_all([x or "" for x in part.column("text").to_pylist()]):
+            out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest(), *([ids] if with_ids else [])))
+        n, a, b, *more = zip(*out, strict=True)
+        arrays = [part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(pa.array(x, pa.binary()) for x in more)]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each row of docs, repeated rows and null ids included: id, n_tokens, SHA-256 of the ids and of the
     bytes that the ids decode to; with_ids: also the ids, as binary column `ids`. A null or empty text has no tokens.
@@ -363,13 +387,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-        for part in slices(batches, "text", 8 << 20):
-            out = []
-            for ids in t.encode_all([x or "" for x in part.column("text").to_pylist()]):
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest(), *([ids] if with_ids else [])))
-            n, a, b, *more = zip(*out, strict=True)
-            arrays = [part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(pa.array(x, pa.binary()) for x in more)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+        yield from encoded(batches, t, with_ids)
         t.forget()
         trim()
 

@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -87,5 +89,44 @@ def test_documents(awkward, no_documents, reference):
     assert bpe.encode_documents(no_documents, PATH, P.PATTERN).count() == 0
 
 
+def new_words(k, n=60000):
+    return " ".join(f"{k}q{i:x}z" for i in range(n))
+
+
+def test_caches_stay_small(ranks, reference):
+    """Many words that never come again, and long chunks without a space, don't stay."""
+    t = bpe.Tokenizer(ranks, P.PATTERN)
+    tracemalloc.start()
+    try:
+        for k in range(12):
+            t.encode_all([new_words(k)])
+            t.encode_all(["x " + f"{k}a" * 100000])
+        assert t.encode_all(["one more"]) and tracemalloc.get_traced_memory()[0] < 25e6
+    finally:
+        tracemalloc.stop()
+    for text in (new_words(1, 500), new_words(99, 500)):
+        assert ids_of(t.encode_all([text])[0]) == reference.encode_ordinary(text)
+
+
+def test_batches_are_encoded_in_slices(ranks, reference):
+    """A worker's memory depends neither on how large a batch is nor on how many different words it has."""
+    t = bpe.Tokenizer(ranks, P.PATTERN)
+    texts = [new_words(k, 10000) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    got, most = [], 0
+    tracemalloc.start()
+    try:
+        for part in bpe.encoded(iter([batch]), t, True):
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            got += part.to_pylist()
+            tracemalloc.reset_peak()
+    finally:
+        tracemalloc.stop()
+    assert most < 150e6
+    assert [r["id"] for r in got] == list(range(len(texts)))
+    for r, text in zip(got, texts, strict=True):
+        assert ids_of(r["ids"]) == reference.encode_ordinary(text) and r["n_tokens"] == len(r["ids"]) // 4
+
+
 def test_vocabulary_file():
     assert all(base64.b64decode(a) for a in open(PATH, "rb").read().split()[:10:2])
