@@ -74,14 +74,18 @@ class Plan:
     most: int | None = None  # candidates there are at most, where trigrams are required
 
     @staticmethod
-    def of(pattern: bytes, df: dict[int, int]) -> Plan:
+    def asked(pattern: bytes) -> list[int]:
         """Of more than MAX_TRIGRAMS distinct trigrams, those of brackets and blanks alone aren't asked for, unless all are
-        such; the rarest MAX_TRIGRAMS of the others are taken, equal ones by number."""
+        such."""
         own = T.of_pattern(pattern)
+        return ([t for t in own if not T.is_noise(t)] or own) if len(own) > T.MAX_TRIGRAMS else own
+
+    @staticmethod
+    def of(pattern: bytes, df: dict[int, int]) -> Plan:
+        """The rarest MAX_TRIGRAMS of those asked for are taken, equal ones by number."""
+        own = Plan.asked(pattern)
         if not own:
             return Plan([])
-        if len(own) > T.MAX_TRIGRAMS:
-            own = [t for t in own if not T.is_noise(t)] or own
         if any(t not in df for t in own):
             return Plan(own, nothing=True)
         own = sorted(own, key=lambda t: (df[t], t))[: T.MAX_TRIGRAMS]
@@ -162,9 +166,7 @@ class TrigramIndex:
         """One layer of all, which counts once it is written as a whole; then what the last two states don't name goes."""
         now = self.manifest()
         live = self.live(now)
-        own = self.table("postings", now).select("trigram", "layer", F.explode("file_ids").alias("file_id"))
-        lists = lists_of(own.join(live.select("file_id", "layer"), ["file_id", "layer"], "left_semi").select("trigram", "file_id"))
-        folder = self._write_tables(live.select("file_id", "path").withColumn("deleted", F.lit(False)), lists, 0)
+        folder = self._write_tables(live.select("file_id", "path").withColumn("deleted", F.lit(False)), lists_of(self.live_pairs(now)), 0)
         self._publish(replace(now, layers={0: folder}))
         self.vacuum()
 
@@ -246,16 +248,26 @@ class TrigramIndex:
         return files.filter("not deleted").select("file_id", "path", "layer")
 
     def plan(self, literal: str, state: Manifest | None = None) -> Plan:
-        """A small job: of one table, the rows of the literal's trigrams."""
+        """A small job: of one table, the rows of the literal's trigrams. Summed over layers they count replaced and deleted
+        files too, so where some trigrams have to be picked among more, the files that are left are counted in the lists."""
         state = state or self.manifest()
         data = literal.encode().lower() if state.mode == "lossless" else literal.encode()
-        own = T.of_pattern(data)
+        own = Plan.asked(data)
         df: dict[int, int] = {}
         # a row for each of the literal's trigrams and each layer
         for r in self.table("trigrams", state).filter(F.col("trigram").isin(own)).select("trigram", "df").collect() if own else []:
             df[r["trigram"]] = df.get(r["trigram"], 0) + r["df"]
+        if len(state.layers) > 1 and len(own) > T.MAX_TRIGRAMS and len(df) == len(own):
+            df = {r["trigram"]: r["df"] for r in frequencies(self.live_pairs(state, own)).collect()}
         return Plan.of(data, df)
 
+    def live_pairs(self, state: Manifest, own: list[int] | None = None) -> DataFrame:
+        """trigram and file_id as of the last layer of each file; own: of these trigrams alone."""
+        lists = self.table("postings", state)
+        lists = lists if own is None else lists.filter(F.col("trigram").isin(own))
+        each = lists.select("trigram", "layer", F.explode("file_ids").alias("file_id"))
+        return each.join(self.live(state).select("file_id", "layer"), ["file_id", "layer"], "left_semi").select("trigram", "file_id")
+
     def candidate_ids(self, plan: Plan, state: Manifest) -> DataFrame:
         """file_id (and layer) of the files that a plan leaves; what a later layer replaced or deleted is not among them."""
         found = intersect(self.table("postings", state), plan.required)

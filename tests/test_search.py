@@ -137,6 +137,13 @@ def test_an_empty_text_is_no_file_to_change(spark, tmp_path, name):
     assert got == want
 
 
+def test_the_rarest_trigrams_of_what_is_left(spark, tmp_path):
+    """"hen" is the most frequent trigram of the pattern where deleted files count, and the rarest where they don't."""
+    rows = [(1, "src1", "abc"), *((i, "src3", "of the") for i in range(2, 5)), *((i, "src2", "hen") for i in range(5, 10))]
+    got, want = against_sql(spark, tmp_path, "index_upsert", rows)
+    assert got == want == [(1,)]
+
+
 def test_stream_of_changes(spark, tmp_path):
     index = I.TrigramIndex.build(rows(spark, ["alpha", "beta"]), str(tmp_path / "i"))
     folder = tmp_path / "changes"
