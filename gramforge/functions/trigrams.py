@@ -30,9 +30,43 @@ def is_noise(trigram: int) -> bool:
     return all(b in NOISE for b in trigram.to_bytes(3, "big"))
 
 
+#: Bytes of a text that are worked on at once; distinct (trigram, file_id) whose lists are made, or that are returned, at once.
+PIECE_BYTES, MOST_PAIRS = 1 << 19, 1 << 19
+
+
 def of_content(content: bytes, everything: bool = False) -> np.ndarray:
     """The distinct trigrams of the indexable lines, ascending. everything: of all lines, in ASCII lower case."""
-    raw = np.frombuffer(content, np.uint8)
+    own = np.zeros(0, np.int32)
+    for piece in _pieces(np.frombuffer(content, np.uint8), everything):
+        found = _of_piece(piece, everything)
+        own = np.union1d(own, found) if len(own) else found
+    return own
+
+
+def _pieces(raw: np.ndarray, everything: bool) -> Iterator[np.ndarray]:
+    """A text cut behind line breaks. A line that is longer than a piece isn't indexable; with everything, its pieces overlap
+    by two bytes, so that each of its trigrams is in one."""
+    start = 0
+    while len(raw) - start > PIECE_BYTES:
+        piece = raw[start : start + PIECE_BYTES]
+        breaks = np.flatnonzero(piece == 10)
+        if len(breaks):
+            yield piece[: breaks[-1] + 1]
+            start += int(breaks[-1]) + 1
+        elif everything:
+            yield piece
+            start += PIECE_BYTES - 2
+        else:
+            start += PIECE_BYTES
+            while start < len(raw):
+                breaks = np.flatnonzero(raw[start : start + PIECE_BYTES] == 10)
+                start += int(breaks[0]) + 1 if len(breaks) else PIECE_BYTES
+                if len(breaks):
+                    break
+    yield raw[start:]
+
+
+def _of_piece(raw: np.ndarray, everything: bool) -> np.ndarray:
     if len(raw) < MIN_LINE:
         return np.zeros(0, np.int32)
     ends = np.append(np.flatnonzero(raw == 10), len(raw))
@@ -53,57 +87,70 @@ def of_content(content: bytes, everything: bool = False) -> np.ndarray:
     return np.unique(wide[at] << 16 | wide[at + 1] << 8 | wide[at + 2])
 
 
-def with_trigrams(corpus: DataFrame, everything: bool = False) -> DataFrame:
-    """file_id and trigrams (array of its distinct ones) for each text of a corpus; one pass, no shuffle. Byte work over
-    every position of a text: array arithmetic over Arrow batches does it far faster than an expression for each line."""
+def _groups(batches: Iterator[pa.RecordBatch], everything: bool, only: list[int] | None = None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """File ids and their distinct trigrams (those in `only`), as many texts at once as have some MOST_PAIRS pairs. What was
+    yielded has to be let go before the next is asked for; texts are read where they lie in their batch."""
+    ids, own, held = [], [], 0
+    for batch in batches:
+        for i, content in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
+            found = of_content(content.as_buffer() if content.is_valid else b"", everything)
+            found = found if only is None else found[np.isin(found, only)]
+            ids.append(i)
+            own.append(found)
+            held += len(found) + 1
+            if held > MOST_PAIRS:
+                yield ids, own
+                ids, own, held = [], [], 0
+        batch = content = None  # not held while the next is read
+    if ids:
+        yield ids, own
+
+
+def _contents(corpus: DataFrame) -> DataFrame:
+    ready(corpus.sparkSession)
+    return corpus.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [of_content(c or b"", everything) for c in batch.column("content").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], ["file_id", "trigrams"])
 
-    ready(corpus.sparkSession)
-    return corpus.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "file_id long, trigrams array<int>")
+def with_trigrams(corpus: DataFrame, everything: bool = False, only: list[int] | None = None) -> DataFrame:
+    """file_id and trigrams (array of its distinct ones, or of those in `only`) for each text of a corpus; one pass, no
+    shuffle. Byte work over every position of a text: array arithmetic over Arrow batches does it far faster than an
+    expression for each line."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, own in _groups(batches, everything, only):
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own), pa.int32()))], ["file_id", "trigrams"])
+            del ids, own, offsets
 
-#: Bytes of text whose lists are made together.
-SLICE_BYTES = 32 << 20
+    return _contents(corpus).mapInArrow(run, "file_id long, trigrams array<int>")
 
 
 def partial_lists(corpus: DataFrame, segment_bits: int, everything: bool = False) -> DataFrame:
-    """trigram, segment and file_ids (ascending): posting lists of some MB of texts each, so that what is shuffled later is
-    one row for a trigram and not one for each pair."""
+    """trigram, segment and file_ids (ascending): posting lists of some texts each, so that what is shuffled later is one row
+    for a trigram and not one for each pair."""
 
     def lists(ids: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(own)
-        owner = np.repeat(ids, [len(x) for x in own])
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        segment = owner >> segment_bits
+        # trigram and place of the id as one number, sorted in place
+        ids, place = np.unique(ids, return_inverse=True)
+        keys = np.concatenate(own).astype(np.int64)
+        keys <<= 32
+        keys |= np.repeat(place, [len(x) for x in own])
+        keys.sort()
+        owner = ids[keys & 0xFFFFFFFF]
+        keys >>= 32
+        flat = keys.astype(np.int32)
         new = np.ones(len(flat), bool)
-        new[1:] = (flat[1:] != flat[:-1]) | (segment[1:] != segment[:-1])
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] >> segment_bits != owner[:-1] >> segment_bits)
         starts = np.flatnonzero(new)
         offsets = np.append(starts, len(flat)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(flat[starts]), pa.array(segment[starts]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(owner))], ["trigram", "segment", "file_ids"])
+        return pa.RecordBatch.from_arrays([pa.array(flat[starts]), pa.array(owner[starts] >> segment_bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(owner))], ["trigram", "segment", "file_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, own, held = [], [], 0
-        for batch in batches:
-            for i, content in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
-                raw = content.as_buffer() if content.is_valid else b""
-                ids.append(i)
-                own.append(of_content(raw, everything))
-                held += len(raw)
-                if held > SLICE_BYTES:
-                    yield lists(np.array(ids, np.int64), own)
-                    ids, own, held = [], [], 0
-        if ids:
+        for ids, own in _groups(batches, everything):
             yield lists(np.array(ids, np.int64), own)
+            del ids, own
 
-    ready(corpus.sparkSession)
-    return corpus.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "trigram int, segment long, file_ids array<long>")
+    return _contents(corpus).mapInArrow(run, "trigram int, segment long, file_ids array<long>")
 
 
 def delta_encoded(ids: Column) -> Column:

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import tracemalloc
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ from gramforge.functions import text
 from gramforge.functions import trigrams as T
 from gramforge.functions.dialect import BadPattern, to_java
 from gramforge.functions.ignore import Rules, glob_to_regex, kept, read_rules
+from gramforge.operators import index as I
 from gramforge.operators.index import Plan
 
 
@@ -68,6 +70,36 @@ def test_trigrams(content):
         assert T.of_content(content, everything).tolist() == brute_trigrams(content, everything)
 
 
+@pytest.mark.parametrize("everything", [False, True])
+def test_a_long_text_is_cut(monkeypatch, everything):
+    text = b"ab\n" + b"Cd" * 900 + b"\n{ }\n" + b"ef gh\n" * 40 + b"x" * 513 + b"\n\nyZ1"
+    for size in (600, 601, 640, 1024):
+        monkeypatch.setattr(T, "PIECE_BYTES", size)
+        assert T.of_content(text, everything).tolist() == brute_trigrams(text, everything)
+
+
+@pytest.mark.parametrize("text", [b"some words\n" * 1_000_000, b"words " * 2_000_000])
+def test_a_long_text_takes_little_memory(text):
+    tracemalloc.start()
+    try:
+        for everything in (False, True):
+            T.of_content(text, everything)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_lists_of_a_bounded_number_of_pairs(spark):
+    """A task begins the list of a trigram that all texts have anew, and it ends as one."""
+    draw = random.Random(1)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=500)) + "\nthe" for _ in range(4_000)]
+    corpus = spark.createDataFrame(enumerate(texts), "file_id long, content string").coalesce(1)
+    most = T.partial_lists(corpus, I.SEGMENT_BITS).agg(F.max(F.size("file_ids"))).first()[0]
+    assert 0 < most <= T.MOST_PAIRS // 400
+    whole = I.posting_lists(corpus).agg(F.max(F.size("file_ids")), F.sum(F.size("file_ids"))).first()
+    assert tuple(whole) == (4_000, sum(len(brute_trigrams(t.encode())) for t in texts))
+
+
 def test_patterns_and_plans():
     assert T.of_pattern(b"ab") == [] and T.of_pattern(b"aaaa") == [0x616161]
     assert T.of_pattern("éa".encode()) == [12822881]
