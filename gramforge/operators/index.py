@@ -40,9 +40,10 @@ class IndexMismatch(ValueError):
     """The folder holds no index, or one of another version."""
 
 
-def pairs(corpus: DataFrame, everything: bool = False) -> DataFrame:
-    """Distinct (trigram, file_id) of a corpus. They are distinct within a text already, so nothing is shuffled for it."""
-    return T.with_trigrams(texts_of(corpus), everything).select("file_id", F.explode("trigrams").alias("trigram"))
+def pairs(corpus: DataFrame, everything: bool = False, only: list[int] | None = None) -> DataFrame:
+    """Distinct (trigram, file_id) of a corpus; only: of these trigrams, which are picked where they are made. They are
+    distinct within a text already, so nothing is shuffled for it."""
+    return T.with_trigrams(texts_of(corpus), everything, only).select("file_id", F.explode("trigrams").alias("trigram"))
 
 
 def _whole(partial: DataFrame) -> DataFrame:

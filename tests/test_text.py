@@ -100,6 +100,13 @@ def test_lists_of_a_bounded_number_of_pairs(spark):
     assert tuple(whole) == (4_000, sum(len(brute_trigrams(t.encode())) for t in texts))
 
 
+def test_pairs_of_some_trigrams(spark):
+    corpus = spark.createDataFrame([(1, "of the"), (2, "xyz"), (3, None), (4, "THE the")], "file_id long, content string")
+    asked = T.of_pattern(b"the")
+    assert sorted(map(tuple, T.with_trigrams(corpus, only=asked).collect())) == [(1, asked), (2, []), (3, []), (4, asked)]
+    assert sorted(r.file_id for r in I.pairs(corpus, only=asked).collect()) == [1, 4]
+
+
 def test_patterns_and_plans():
     assert T.of_pattern(b"ab") == [] and T.of_pattern(b"aaaa") == [0x616161]
     assert T.of_pattern("éa".encode()) == [12822881]
